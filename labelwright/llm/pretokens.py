@@ -62,15 +62,19 @@ def starts(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
 def word_keys(chars: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit key of each match: a polynomial over random values of its characters, its length mixed in."""
     n = len(chars)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, MULTIPLIER, np.uint64)]))
-    upto = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[np.minimum(chars, len(VALUES) - 1)] * power[:n])])
+    upto = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[np.minimum(chars, len(VALUES) - 1)] * powers(MULTIPLIER, n))])
     ends = np.append(at[1:], n)
-    key = (upto[ends] - upto[at]) * power[n - at] + (ends - at).astype(np.uint64) * MIX
+    key = (upto[ends] - upto[at]) * powers(INVERSE, n)[at] + (ends - at).astype(np.uint64) * MIX
     return (key ^ (key >> np.uint64(29))) * MIX
 
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), base, np.uint64)]))
+
+
 VALUES = np.random.default_rng(20240607).integers(1, 2**63, SAFE_BLOCKS[-1][1], dtype=np.uint64)
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
 
 
 class WordTable:
