@@ -2,7 +2,7 @@
 
 Embeddings and softmax are trained jointly in numpy, in one task, over a bounded sample of labelled rows (`SAMPLE_ROWS`
 of each class at most, in hash order of doc_id, so any size of table gives the same kind of sample; of these, texts up
-to `SAMPLE_BYTES` together). Misspelt or inflected words share the vectors of their n-grams. Scoring covers every row and whole
+to `SAMPLE_BYTES` together). Misspelt or inflected words share the vectors of their n-grams; runs of one word count once. Scoring covers every row and whole
 text: with the softmax fixed, an n-gram's part in the logit is one number, and a document's logit is their mean.
 
 Only texts enter a score. Null and empty texts have no features and get the score of the bias. Labels that are null
@@ -25,7 +25,9 @@ from .pretokens import powers
 
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 24 << 20
 BITS, DIM, SIZES = 18, 8, (3, 4, 5, 6)
-EPOCHS, BATCH, RATE, SEED = 12, 32, 0.5, 11
+EPOCHS, BATCH, RATE, SEED = 15, 32, 0.5, 11
+#: An n-gram counts from this many sampled texts on; so many neutral ones join each mean, so that few words alone decide less.
+LEAST_TEXTS, NEUTRAL = 3, 300
 
 _random = np.random.default_rng(SEED)
 VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64)
@@ -63,15 +65,23 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         key = (key ^ (key >> np.uint64(31))) * MIX
         return (key >> np.uint64(64 - BITS)).astype(np.int64)
 
+    first = np.flatnonzero(~white[1:] & white[:-1]) + 1
+    last = np.flatnonzero(~white[:-1] & white[1:]) + 1
+    words = bucket(first, last, 1)
+    # A word that repeats the one before it in its text does not count again.
+    again = np.zeros(len(first), bool)
+    again[1:] = (words[1:] == words[:-1]) & (np.searchsorted(bounds, first[1:], "right") == np.searchsorted(bounds, first[:-1], "right"))
+    change = np.zeros(total + 1, np.int8)
+    change[first[again] - 1] += 1
+    change[last[again]] -= 1
+    fresh = np.cumsum(change[:-1]) == 0
     for size in SIZES:
         if total >= size:
             begin = np.arange(total - size + 1)
             inner = spaces[size - 1 : total] - spaces[1 : total - size + 2] == 0
             full = inner & (spaces[size:] - spaces[: total - size + 1] < size)
-            yield bucket(begin, begin + size, size), full, np.minimum(bounds, len(begin))
-    first = np.flatnonzero(~white[1:] & white[:-1]) + 1
-    last = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    yield bucket(first, last, 1), np.ones(len(first), bool), np.searchsorted(first, bounds)
+            yield bucket(begin, begin + size, size), full & fresh[: len(begin)], np.minimum(bounds, len(begin))
+    yield words, ~again, np.searchsorted(first, bounds)
 
 
 class Model:
@@ -85,7 +95,7 @@ class Model:
             upto = np.concatenate([[0.0], np.cumsum(np.where(full, self.parts[buckets], 0), dtype=np.float64)])
             total += np.diff(upto[bounds])
             count += np.diff(np.concatenate([[0], np.cumsum(full)])[bounds])
-        logit = total / np.maximum(count, 1) + self.bias[1] - self.bias[0]
+        logit = total / (count + NEUTRAL) + self.bias[1] - self.bias[0]
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -95,9 +105,11 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> Model:
     for text in texts:
         found = [b[f] for b, f, _ in grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))]
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
-        bags.append((keys.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
+        bags.append((keys.astype(np.int32), (counts / (counts.sum() + NEUTRAL)).astype(np.float32)))
+    common_enough = np.bincount(np.concatenate([keys for keys, _ in bags]), minlength=1 << BITS) >= LEAST_TEXTS
+    bags = [(keys[common_enough[keys]], share[common_enough[keys]]) for keys, share in bags]
     random = np.random.default_rng(SEED)
-    embedding = random.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
+    embedding = np.zeros((1 << BITS, DIM), np.float32)
     softmax = random.normal(0, 1, (2, DIM)).astype(np.float32)
     bias = np.zeros(2)
     seen_e, seen_w, seen_b = np.full(1 << BITS, 1e-8, np.float32), np.full((2, DIM), 1e-8), np.full(2, 1e-8)
