@@ -61,7 +61,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     back = powers(BACK, total)
 
     def bucket(begin: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
-        key = (upto[end] - upto[begin]) * back[begin] + np.uint64(kind) * MIX
+        key = (upto[end] - upto[begin]) * back[begin] + np.uint64(kind * int(MIX) % 2**64)
         key = (key ^ (key >> np.uint64(31))) * MIX
         return (key >> np.uint64(64 - BITS)).astype(np.int64)
 
