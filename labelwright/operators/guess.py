@@ -77,7 +77,9 @@ def fuzzy(texts: DataFrame, master: DataFrame, params: GuessParams, model: Confu
 
 def ordered_master(master: DataFrame) -> DataFrame:
     """The list with its order (`ord`), by code where it has none."""
-    return master if "ord" in master.columns else master.withColumn("ord", F.col("code"))
+    if "ord" not in master.columns:
+        return master.withColumn("ord", F.col("code"))
+    return master if dict(master.dtypes)["ord"] == "string" else master.withColumn("ord", F.lpad(F.col("ord").cast("string"), 20, "0"))
 
 
 def hypotheses(observations: DataFrame, master: DataFrame, grammar: Grammar, params: GuessParams, model: Confusion | None = None, repair: RepairParams | None = None, with_repair: bool = True) -> DataFrame:

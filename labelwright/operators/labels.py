@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,21 +37,30 @@ def words_of_text(text: Column, confidence: float = 0.6) -> Column:
 
 
 class KeyMatcher:
-    """Finds keys in a line of key letters; a word is compared with the aliases once."""
+    """Finds keys in a line of key letters; each word is compared with the aliases once."""
 
     def __init__(self, model: Confusion | None = None, tolerance: float = TOLERANCE):
         self.model, self.tolerance = model, tolerance
         self.known: dict[str, str | None] = {"": None, "PONO": "PoNo"}
 
-    def close(self, word: str, aliases: list[str]) -> list[bool]:
-        near = [a for a in aliases if len(a) > 3 and abs(len(a) - len(word)) <= 2]
-        reach = dict(zip(near, distances([word] * len(near), near, self.model))) if word else {}
-        return [a == word or (a in reach and reach[a] / max(len(a), len(word)) <= self.tolerance) for a in aliases]
+    def close(self, words: list[str], aliases: list[str]) -> list[list[bool]]:
+        """For each word, which aliases it stands for; all that need a distance are measured together."""
+        near = [(w, a) for w in words for a in aliases if w and len(a) > 3 and w != a and abs(len(a) - len(w)) <= 2]
+        reach = dict(zip(near, distances([w for w, _ in near], [a for _, a in near], self.model)))
+        return [[a == w or reach.get((w, a), 99.0) / max(len(a), len(w)) <= self.tolerance for a in aliases] for w in words]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Finds the keys of words not met before."""
+        if len(self.known) > 500_000:
+            self.known = {"": None, "PONO": "PoNo"}
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        names, aliases = zip(*((name, alias) for name, own in KEYS.items() for alias in own))
+        for word, hits in zip(new, self.close(new, list(aliases))):
+            self.known[word] = next((name for name, hit in zip(names, hits) if hit), None)
 
     def key(self, word: str) -> str | None:
         if word not in self.known:
-            names, aliases = zip(*((name, alias) for name, own in KEYS.items() for alias in own))
-            self.known[word] = next((name for name, hit in zip(names, self.close(word, list(aliases))) if hit), None)
+            self.learn([word])
         return self.known[word]
 
     def match(self, line: list[str], at: int) -> tuple[str | None, int]:
@@ -59,7 +68,7 @@ class KeyMatcher:
         here, second, third = (line[i] if i < len(line) else "" for i in (at, at + 1, at + 2))
         if here in ("PO", "PQ") and second in ("NO", "NQ"):
             return "PoNo", 2
-        if here == "BP" and self.close(second, ["ORDER"])[0]:
+        if here == "BP" and self.close([second], ["ORDER"])[0][0]:
             return "BpOrderNo", 3 if third.startswith("N") else 2
         return self.key(here), 1
 
@@ -87,6 +96,7 @@ def field_spans(lines: Column, words: Column, model: Confusion | None = None, to
     def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         own = KeyMatcher(model, tolerance)
         for numbers, texts in batches:
+            own.learn(w for line in texts if line is not None for w in line)
             yield pd.Series([own.spans([int(n) for n in a], list(b)) if a is not None else [] for a, b in zip(numbers, texts)])
 
     return udf.asNondeterministic()(lines, words)
