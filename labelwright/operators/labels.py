@@ -40,15 +40,24 @@ class KeyMatcher:
     """Finds keys in a line of key letters; each word is compared with the aliases once."""
 
     def __init__(self, model: Confusion | None = None, tolerance: float = TOLERANCE):
-        self.model, self.tolerance = model, tolerance
+        self.model, self.tolerance = model or Confusion(), tolerance
         self.known: dict[str, str | None] = {"": None, "PONO": "PoNo"}
 
     def close(self, words: list[str], aliases: list[str]) -> list[list[bool]]:
         """For each word, which aliases it stands for; all that need a distance are measured together."""
-        near = [(w, a) for w in words for a in aliases if w and len(a) > 3 and w != a and abs(len(a) - len(w)) <= 2]
+        near = [(w, a) for a in aliases if len(a) > 3 for w in self.in_reach([w for w in words if w and w != a and abs(len(a) - len(w)) <= 2], a)]
         reach = dict(zip(near, distances([w for w, _ in near], [a for _, a in near], self.model)))
         return [[a == w or reach.get((w, a), 99.0) / max(len(a), len(w)) <= self.tolerance for a in aliases] for w in words]
 
+    def in_reach(self, words: list[str], alias: str) -> list[str]:
+        """Words whose characters, each at its least cost against any of the alias (a swap costs two characters), don't exceed the tolerance."""
+        if not words:
+            return []
+        model = self.model
+        half = model.transpose_cost / 2
+        least = {c: min([half, model.drop(c), *(model.substitution(c, x) for x in alias)]) for c in set("".join(words))}
+        return [w for w in words if sum(least[c] for c in w) <= self.tolerance * max(len(w), len(alias)) + 1e-9]
+
     def learn(self, words: Iterable[str]) -> None:
         """Finds the keys of words not met before."""
         if len(self.known) > 500_000:
