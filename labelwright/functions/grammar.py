@@ -27,6 +27,8 @@ MOST_EXAMPLES = 64
 SMOOTHING = 0.5
 LETTER, DIGIT, OTHER = range(3)
 SHAPES = "LD-"
+#: A bar between alternatives; the empty group before it keeps them from becoming one class of characters.
+ALTERNATIVE = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\|", re.S)
 
 
 class Unsupported(ValueError):
@@ -76,7 +78,7 @@ def _examples(tree) -> list[str]:  # noqa: ANN001
 def examples(pattern: str) -> list[str]:
     """Representative strings of a simple regular expression; none for one that has other constructs."""
     try:
-        tree = list(sre_parse.parse(pattern.strip()))
+        tree = list(sre_parse.parse(ALTERNATIVE.sub(lambda m: "()|" if m[0] == "|" else m[0], pattern.strip())))
         if tree and tree[0] == (sre.AT, sre.AT_BEGINNING):
             tree = tree[1:]
         if tree and tree[-1] == (sre.AT, sre.AT_END):
