@@ -237,7 +237,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, orders: Orders) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(classes.select("cls", F.col("rep").alias("doc_id"))), "doc_id")
-    return texts.select("cls", "text").mapInArrow(run, "cls long, n long, tokens binary, second binary, third binary").dropDuplicates(["cls"])
+    return texts.select("cls", "text").mapInArrow(run, "cls long, n long, tokens binary, second binary, third binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -262,8 +262,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 links.append(100 * both >= PERCENT * union)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low, pa.float64()), pa.array(high, pa.float64()), pa.array(links, pa.bool_())], ["a", "b", "low", "high", "linked"])
 
-    side = lambda s: sets.select(F.col("cls").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("tokens", "second", "third")))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, low double, high double, linked boolean")
+    def with_sets(rows: DataFrame, side: str) -> DataFrame:
+        """The same exchange of sets serves both sides."""
+        own = ("tokens", "second", "third")
+        joined = rows.withColumn("cls", F.col(side)).join(sets.select("cls", *own), "cls")
+        return joined.select(*rows.columns, *(F.col(c).alias(f"{side}_{c}") for c in own))
+
+    return with_sets(with_sets(pairs.select("a", "b"), "a"), "b").mapInArrow(run, "a long, b long, low double, high double, linked boolean")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -279,7 +284,7 @@ def alike_in_size(n: Column, m: Column) -> Column:
 
 
 def links(docs: DataFrame, made: DataFrame, orders: Orders) -> DataFrame:
-    """Links (u, v) between classes whose components are those of all links."""
+    """Links (u, v) between classes whose components are those of all links. Discards `made`."""
     sizes = made.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"))
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * PERCENT / 100) / 20)
 
@@ -290,8 +295,11 @@ def links(docs: DataFrame, made: DataFrame, orders: Orders) -> DataFrame:
     # Twice, so that no class that cannot be linked is a pivot.
     first = common.materialise(sharing(meetings(made), sizes), "classes")
     met = common.materialise(meetings(made.filter("prefix is not null").join(common.small(first.select("cls")), "cls", "left_semi")), "meetings")
+    common.discard(made)
     alive = common.materialise(sharing(met, first), "classes")
     sets = common.materialise(whole_sets(docs, alive, orders), "sets")
+    if sets.groupBy("cls").count().filter("count > 1").limit(1).count():  # rows that repeat a doc_id
+        sets = common.materialise(sets.dropDuplicates(["cls"]), "sets")
     known = alive.select("cls", "n")
     members = met.select("cls", "pivot").join(known, "cls").join(known.select(F.col("cls").alias("pivot"), F.col("n").alias("m")), "pivot", "left")
     stars = members.filter((F.col("cls") != F.col("pivot")) & alike_in_size(F.col("n"), F.col("m")))
@@ -314,15 +322,18 @@ def links(docs: DataFrame, made: DataFrame, orders: Orders) -> DataFrame:
     pairs = a.join(b, (a["pivot"] == b["pivot"]) & (F.col("a_root") < F.col("b_root")) & alike_in_size(F.col("a_n"), F.col("b_n")) & near)
     pairs = pairs.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
     more = verified(pairs, sets).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(common.materialise(more, "links"))
+    more = common.materialise(more, "links")
+    common.discard(sets)
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     orders = Orders(*common_tokens(docs))
     made = common.materialise(prefixes(docs, orders), "prefixes")
+    short = common.materialise(made.select("doc_id", "n", "cls"), "documents")
     roots = components(links(docs, made, orders)).withColumnRenamed("node", "cls")
-    rows = made.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = short.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = common.materialise(rows, "rows")
     named = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(named, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
