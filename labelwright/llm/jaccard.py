@@ -7,11 +7,11 @@ ceil(0.8 n) tokens, so their first n - ceil(0.8 n) + k tokens of any one order s
 1. tokens that are common are counted over all texts (counts only order tokens; any counts give the same links);
 2. the prefixes under the first order are dealt by token and streamed in order: all sets with a token meet its least set,
    the pivot, and no list of sets is ever held. Sets that share too few prefix tokens with others are out, and the
-   others meet again without them;
+   others meet again without them; then the set that shares most of its prefix is the pivot, as the middle of its group;
 3. those left are read again; pairs (set, pivot) must share k prefix tokens under a second and a third order, then are
    verified on whole sets;
 4. components of these links are found. What remains are pairs of one pivot in different components; the distances
-   to the pivot (a metric) exclude most, the rest pass the filters of step 3 and are verified. So no pair within a large
+   to the pivot (a metric) and the places of tokens in their prefixes exclude most, the rest pass the filters of step 3 and are verified. So no pair within a large
    group of near copies is made, and no link between components is lost.
 
 Equal sets are one class from the start; its name is a 64-bit hash of the set, as are the tokens. A document with fewer
@@ -117,9 +117,8 @@ class Orders:
         return out
 
     def prefix(self, tokens: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """The prefix of one set (ascending tokens), in ascending order of tokens."""
-        keep = prefix_length(len(tokens))
-        return tokens if keep == len(tokens) else tokens[np.sort(np.argsort(ranks, kind="stable")[:keep])]
+        """The prefix of one set (ascending tokens), in its order."""
+        return tokens[np.argsort(ranks, kind="stable")[: prefix_length(len(tokens))]]
 
 
 def common_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +147,7 @@ def common_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
-    """doc_id, n, cls and the first order's prefix; the prefix only for the first of equal sets that a task sees."""
+    """doc_id, n, cls, the first order's prefix, its length and its last rank; the prefix only for the first of equal sets that a task sees."""
     sent = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +156,11 @@ def prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
             for batch in common.slices(whole):
                 tokens, begin = token_sets(*common.text_bytes(batch.column("text")))
                 ranks = sent.value.ranks(tokens, 1)
-                n, names, kept = np.diff(begin), [], []
+                n, names, kept, last = np.diff(begin), [], [], []
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
                     name = xxhash.xxh3_64_intdigest(tokens[a:b].tobytes()) - 2**63 if b > a else None
                     names.append(name)
+                    last.append(int(np.partition(ranks[a:b], prefix_length(b - a) - 1)[prefix_length(b - a) - 1]) >> 1 if b > a else None)
                     if name is None or name in seen:
                         kept.append(None)
                     else:
@@ -168,33 +168,43 @@ def prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
                         kept.append(sent.value.prefix(tokens[a:b], ranks[a:b]).tobytes())
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(names, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n", "cls", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(names, pa.int64()), pa.array(kept, pa.binary()), pa.array([prefix_length(x) for x in n.tolist()], pa.int64()), pa.array(last, pa.int64())], ["doc_id", "n", "cls", "prefix", "p", "last"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, prefix binary, p long, last long")
 
 
 def meetings(prefixed: DataFrame) -> DataFrame:
-    """cls, pivot, shared: in how many prefix tokens' lists a set met that pivot; a pivot of a list of two sets or more also meets itself."""
+    """cls, pivot, shared: in how many prefix tokens' lists a set met that pivot; a pivot of a list of two sets or more also meets itself.
+    first: the first place (from 0) that such a token has in the set's prefix.
+
+    The pivot of a list is its first set by the column `place`, if there is one, then by name.
+    """
+    placed = "place" in prefixed.columns
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "prefix"):
                 data, offsets = common.text_bytes(batch.column("prefix"))
                 tokens = data.view(np.int64) if len(data) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(batch.column("cls").to_numpy(), np.diff(offsets) // 8))], ["token", "cls"])
+                size = np.diff(offsets) // 8
+                position = np.arange(len(tokens)) - np.repeat(offsets[:-1] // 8, size)
+                names = ["token", "position", "cls", "place"] if placed else ["token", "position", "cls"]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(position.astype(np.int32)), *(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in names[2:])], names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = pivot = last = None  # of the list that the batch before ended in
+        pivot_at = 0  # the place of its token in its pivot
         met = False  # whether its pivot has met itself
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, c = batch.column("token").to_numpy(), batch.column("cls").to_numpy()
+            t, c, position = (batch.column(name).to_numpy() for name in ("token", "cls", "position"))
             new = np.ones(len(t), bool)
             new[1:] = t[1:] != t[:-1]
             new[0] = t[0] != token
             at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
             pivots = np.where(at >= 0, c[np.maximum(at, 0)], pivot if pivot is not None else 0)
+            own_at = np.where(at >= 0, position[np.maximum(at, 0)], pivot_at)
             fresh = c != pivots
             fresh[1:] &= (c[1:] != c[:-1]) | new[1:]
             if not new[0] and c[0] == last:
@@ -206,16 +216,20 @@ def meetings(prefixed: DataFrame) -> DataFrame:
                 own = own[1:]
             cls = np.concatenate([c[rows], pivots[own]])
             with_ = np.concatenate([pivots[rows], pivots[own]])
+            where = np.concatenate([position[rows], own_at[own]])
             met = bool((at[rows] == at[-1]).any()) or (met and at[-1] == -1)
-            token, pivot, last = t[-1], pivots[-1], c[-1]
+            token, pivot, last, pivot_at = t[-1], pivots[-1], c[-1], own_at[-1]
             if len(cls):
                 order = np.lexsort((with_, cls))
-                cls, with_ = cls[order], with_[order]
+                cls, with_, where = cls[order], with_[order], where[order]
                 edge = np.flatnonzero(np.concatenate([[True], (cls[1:] != cls[:-1]) | (with_[1:] != with_[:-1])]))
-                yield pa.RecordBatch.from_arrays([pa.array(cls[edge]), pa.array(with_[edge]), pa.array(np.diff(np.append(edge, len(cls))))], ["cls", "pivot", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[edge]), pa.array(with_[edge]), pa.array(np.diff(np.append(edge, len(cls)))), pa.array(np.minimum.reduceat(where, edge).astype(np.int32))], ["cls", "pivot", "shared", "first"])
 
-    dealt = prefixed.filter("prefix is not null").select("cls", "prefix").mapInArrow(spread, "token long, cls long").repartition(common.partitions(prefixed.sparkSession), "token").sortWithinPartitions("token", "cls")
-    return dealt.mapInArrow(stream, "cls long, pivot long, shared long").groupBy("cls", "pivot").agg(F.sum("shared").alias("shared"))
+    more = ["place"] if placed else []
+    rows = prefixed.filter("prefix is not null").select("cls", "prefix", *more).mapInArrow(spread, "token long, position int, cls long" + ", place long" * placed)
+    dealt = rows.repartition(common.partitions(prefixed.sparkSession), "token").sortWithinPartitions("token", *more, "cls")
+    met = dealt.select("token", "position", "cls").mapInArrow(stream, "cls long, pivot long, shared long, first int")
+    return met.groupBy("cls", "pivot").agg(F.sum("shared").alias("shared"), F.min("first").alias("first"))
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, orders: Orders) -> DataFrame:
@@ -279,30 +293,45 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def alike_in_size(n: Column, m: Column) -> Column:
-    return F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
+def may_link(a: Column, b: Column) -> Column:
+    """Whether sizes and prefixes of two sets (n, last, alone, first) allow that they are linked and that the first token
+    they share, of all in the order, is in a list of the pivot that `first` is about.
+
+    Linked sets share at least `least` tokens, so the first of them is not farther in either set than n - least. All
+    tokens of a prefix that ends before the other one's end are in that other prefix or not in that set at all; so a
+    set shares at most its n tokens but for those of its prefix that are in no other prefix.
+    """
+    sizes = F.lit(100) * F.least(a["n"], b["n"]) >= F.lit(PERCENT) * F.greatest(a["n"], b["n"])
+    least = F.ceil(F.lit(PERCENT) * (a["n"] + b["n"]) / F.lit(100 + PERCENT))
+    most = F.when(a["last"] < b["last"], a["n"] - a["alone"]).when(a["last"] > b["last"], b["n"] - b["alone"]).otherwise(F.least(a["n"], b["n"]))
+    return sizes & (most >= least) & (a["first"] <= a["n"] - least) & (b["first"] <= b["n"] - least)
 
 
 def links(docs: DataFrame, made: DataFrame, orders: Orders) -> DataFrame:
     """Links (u, v) between classes whose components are those of all links. Discards `made`."""
-    sizes = made.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"))
+    sizes = made.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.max("p").alias("p"), F.max("last").alias("last"))
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * PERCENT / 100) / 20)
 
     def sharing(met: DataFrame, of: DataFrame) -> DataFrame:
-        """Classes that share enough prefix tokens for a link."""
-        return met.groupBy("cls").agg(F.sum("shared").alias("shared")).join(of, "cls").filter(F.col("shared") >= least).select("cls", "n", "rep")
+        """Classes that share enough prefix tokens for a link, and how many they don't share with any other."""
+        counted = met.groupBy("cls").agg(F.sum("shared").alias("shared")).join(of.select("cls", "n", "rep", "p", "last"), "cls")
+        return counted.filter(F.col("shared") >= least).select("cls", "n", "rep", "p", "last", (F.col("p") - F.col("shared")).alias("alone"))
 
-    # Twice, so that no class that cannot be linked is a pivot.
+    # Twice: no class that cannot be linked is a pivot then, and of a list the one that shares most of its prefix is.
     first = common.materialise(sharing(meetings(made), sizes), "classes")
-    met = common.materialise(meetings(made.filter("prefix is not null").join(common.small(first.select("cls")), "cls", "left_semi")), "meetings")
+    place = common.small(first.select("cls", F.floor(F.col("alone") * 1000 / F.col("p")).cast("long").alias("place")))
+    met = common.materialise(meetings(made.filter("prefix is not null").join(place, "cls")), "meetings")
     common.discard(made)
     alive = common.materialise(sharing(met, first), "classes")
     sets = common.materialise(whole_sets(docs, alive, orders), "sets")
     if sets.groupBy("cls").count().filter("count > 1").limit(1).count():  # rows that repeat a doc_id
         sets = common.materialise(sets.dropDuplicates(["cls"]), "sets")
-    known = alive.select("cls", "n")
-    members = met.select("cls", "pivot").join(known, "cls").join(known.select(F.col("cls").alias("pivot"), F.col("n").alias("m")), "pivot", "left")
-    stars = members.filter((F.col("cls") != F.col("pivot")) & alike_in_size(F.col("n"), F.col("m")))
+    facts = ("n", "last", "alone")
+    known = alive.select("cls", F.struct(*facts).alias("own"))
+    members = met.select("cls", "pivot", "first").join(known, "cls").withColumn("own", F.col("own").withField("first", F.col("first"))).drop("first")
+    pivots = members.filter("cls = pivot").select("pivot", F.col("own").alias("its"))
+    members = members.join(pivots, "pivot", "left")
+    stars = members.filter((F.col("cls") != F.col("pivot")) & may_link(F.col("own"), F.col("its")))
     tried = common.materialise(verified(stars.select(F.col("cls").alias("a"), F.col("pivot").alias("b")), sets), "stars")
     found = tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(found)
@@ -311,15 +340,15 @@ def links(docs: DataFrame, made: DataFrame, orders: Orders) -> DataFrame:
         members.filter(F.col("cls") != F.col("pivot"))
         .join(tried.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), "low", "high"), ["cls", "pivot"], "left")
         .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        .select("pivot", "cls", "n", F.coalesce("root", "cls").alias("root"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+        .select("pivot", "cls", "own", F.coalesce("root", "cls").alias("root"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
     )
     measured = common.materialise(measured, "measured")
     several = measured.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("pivot")
     rest = measured.join(several, "pivot", "left_semi")
-    a, b = (rest.select("pivot", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "root", "low", "high"))) for s in "ab")
+    a, b = (rest.select("pivot", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "own", "root", "low", "high"))) for s in "ab")
     reach = 1 - PERCENT / 100 + 1e-9
     near = (F.col("a_low") - F.col("b_high") <= reach) & (F.col("b_low") - F.col("a_high") <= reach)
-    pairs = a.join(b, (a["pivot"] == b["pivot"]) & (F.col("a_root") < F.col("b_root")) & alike_in_size(F.col("a_n"), F.col("b_n")) & near)
+    pairs = a.join(b, (a["pivot"] == b["pivot"]) & (F.col("a_root") < F.col("b_root")) & may_link(F.col("a_own"), F.col("b_own")) & near)
     pairs = pairs.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
     more = verified(pairs, sets).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     more = common.materialise(more, "links")
