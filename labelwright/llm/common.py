@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step holds at a time; longer texts are taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows a step may broadcast after they were counted; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

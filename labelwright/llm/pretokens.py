@@ -80,10 +80,10 @@ INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
 class WordTable:
     """Ids of words, each encoded once by `encode` (one word to its ids); forgets all beyond `limit` words.
 
-    Words are told apart by 64-bit keys: of a million words in one table two clash with a chance of 3e-8.
+    Words are told apart by 64-bit keys: of half a million words in one table two clash with a chance of 1e-8.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], whole: Callable[[str], list[int]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[str], list[int]], whole: Callable[[str], list[int]], limit: int = 500_000):
         self.encode, self.whole, self.limit = encode, whole, limit
         self.clear()
 
