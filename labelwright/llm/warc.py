@@ -66,7 +66,7 @@ def records(pages: DataFrame, key: str = "page_id", target: str = "url", payload
     return joined.select(F.concat(F.concat_ws(end, *lines), F.lit(end + end), head, kept).alias("value"))
 
 
-def write(pages: DataFrame, path: str, compression: str = "none", **columns: Any) -> None:
+def write(pages: DataFrame, path: str, compression: str = "gzip", **columns: Any) -> None:
     records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
