@@ -217,6 +217,42 @@ def test_mixing(docs, empty, rows):
     assert mixing.score(empty).count() == 0
 
 
+def test_mixing_counts_every_context(spark, rows):
+    many = [(i, " ".join(f"{R.choice(VOCABULARY)} {R.choice('pqrst')}{R.randrange(3000)}" for _ in range(400))) for i in range(200, 230)]
+    made = [*((i, t) for i, t in rows if i is not None), *many]
+    words = sorted(set(VOCABULARY))[:30]
+    keys = np.sort(np.append(mixing.Words(*mixing.common.text_bytes(mixing.pa.array([" ".join(words)]))).keys, mixing.END_KEY))
+    code = mixing.Code(keys, np.arange(len(keys)) % 7 * 10.0, 50, np.arange(256) % 40)
+    train, own = (lambda i: zlib.crc32(str(i).encode()) % 5 != 1), (lambda i: zlib.crc32(str(i).encode()) % 5 == 2)
+
+    def places(text):
+        stream = mixing.Stream(mixing.Words(*mixing.common.text_bytes(mixing.pa.array([text or ""]))), code)
+        for k, pairs in enumerate(stream.pairs):
+            for symbol, pair in zip(stream.symbols.tolist(), pairs.tolist()):
+                way = code.bit[code.begin[symbol] : code.begin[symbol] + code.size[symbol]].tolist()
+                yield from ((k, pair >> mixing.LEAF_BITS, symbol >= code.bytes_at, tuple(way[:d]), bit) for d, bit in enumerate(way))
+
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3).withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))).withColumn("weights", F.col("fold") == 2)
+    parts = mixing.chunked(docs, code, 16)
+    sums, sent = mixing.summed(parts), spark.sparkContext.broadcast(code)
+    for whole in (True, False):
+        counts = Counter(p for i, t in made if train(i) and (whole or not own(i)) for p in places(t))
+        assert len({p[:-1] for p in counts}) > 20000
+        seen = 0
+        for batch, _, stream, tables in mixing.gathered(iter(mixing.answered(parts, sums, sent, whole).toArrow().to_batches()), code, 16):
+            starts = np.concatenate([[0], np.cumsum(stream.size)])
+            slots, _, owner = code.bits(stream.symbols, tables.starts(stream))
+            for doc, text in enumerate(batch.column("text").to_pylist()):
+                mine = (owner >= starts[doc]) & (owner < starts[doc + 1])
+                expected = [[(counts[(*p[:-1], 0)], counts[(*p[:-1], 1)]) for p in places(text) if p[0] == k] for k in range(mixing.CONTEXTS)]
+                for k in range(mixing.CONTEXTS):
+                    n = np.array(expected[k])
+                    assert np.abs(tables.logit[slots[k][mine]] - np.log((n[:, 1] + mixing.PRIOR) / (n[:, 0] + mixing.PRIOR))).max() < 0.002
+                    assert (tables.level[slots[k][mine]] == np.digitize(n.sum(1), [1, 4, 40])).all()
+                seen += 1
+        assert seen == len(made)
+
+
 def test_toxicity(spark, docs, empty):
     clean = [(i, passage(40)) for i in range(300)]
     bad = [(1000 + i, " ".join(passage(6) + " " + R.choice(["moronic", "idiots", "scummy"]) for _ in range(4))) for i in range(300)]
