@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step holds at a time; longer texts are taken alone.
@@ -38,6 +38,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key() -> Column:
+    """A hash of a row's text, which with its doc_id tells the row from others but for copies."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that `materialise` has written, when nothing reads it any more."""
     spark = df.sparkSession

@@ -147,7 +147,7 @@ def common_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
-    """doc_id, n, cls, the first order's prefix, its length and its last rank; the prefix only for the first of equal sets that a task sees."""
+    """doc_id, key, n, cls, the first order's prefix, its length and its last rank; the prefix only for the first of equal sets that a task sees."""
     sent = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +168,9 @@ def prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
                         kept.append(sent.value.prefix(tokens[a:b], ranks[a:b]).tobytes())
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(names, pa.int64()), pa.array(kept, pa.binary()), pa.array([prefix_length(x) for x in n.tolist()], pa.int64()), pa.array(last, pa.int64())], ["doc_id", "n", "cls", "prefix", "p", "last"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n.astype(np.int64)), pa.array(names, pa.int64()), pa.array(kept, pa.binary()), pa.array([prefix_length(x) for x in n.tolist()], pa.int64()), pa.array(last, pa.int64())], ["doc_id", "key", "n", "cls", "prefix", "p", "last"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, prefix binary, p long, last long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), common.text_key().alias("key")).mapInArrow(run, "doc_id long, key long, n long, cls long, prefix binary, p long, last long")
 
 
 def meetings(prefixed: DataFrame) -> DataFrame:
@@ -232,6 +232,11 @@ def meetings(prefixed: DataFrame) -> DataFrame:
     return met.groupBy("cls", "pivot").agg(F.sum("shared").alias("shared"), F.min("first").alias("first"))
 
 
+def found_by(doc_id: Column, key: Column) -> Column:
+    """Where a text is found again: by its doc_id, or without one by its key."""
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, key).alias("at")).alias("rep")
+
+
 def whole_sets(docs: DataFrame, classes: DataFrame, orders: Orders) -> DataFrame:
     """cls, n, tokens and the second and third orders' prefixes (32 bits a token) of the classes (cls, rep)."""
     sent = docs.sparkSession.sparkContext.broadcast(orders)
@@ -250,7 +255,8 @@ def whole_sets(docs: DataFrame, classes: DataFrame, orders: Orders) -> DataFrame
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(classes.select("cls", F.col("rep").alias("doc_id"))), "doc_id")
+    texts = docs.select(found_by(F.col("doc_id").cast("long"), common.text_key()), F.col("text").cast("string").alias("text")).select("rep.*", "text")
+    texts = texts.join(common.small(classes.select("cls", "rep.*")), ["none", "at"])
     return texts.select("cls", "text").mapInArrow(run, "cls long, n long, tokens binary, second binary, third binary")
 
 
@@ -309,7 +315,7 @@ def may_link(a: Column, b: Column) -> Column:
 
 def links(docs: DataFrame, made: DataFrame, orders: Orders) -> DataFrame:
     """Links (u, v) between classes whose components are those of all links. Discards `made`."""
-    sizes = made.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.max("p").alias("p"), F.max("last").alias("last"))
+    sizes = made.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min(found_by(F.col("doc_id"), F.col("key"))).alias("rep"), F.max("p").alias("p"), F.max("last").alias("last"))
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * PERCENT / 100) / 20)
 
     def sharing(met: DataFrame, of: DataFrame) -> DataFrame:
@@ -324,7 +330,7 @@ def links(docs: DataFrame, made: DataFrame, orders: Orders) -> DataFrame:
     common.discard(made)
     alive = common.materialise(sharing(met, first), "classes")
     sets = common.materialise(whole_sets(docs, alive, orders), "sets")
-    if sets.groupBy("cls").count().filter("count > 1").limit(1).count():  # rows that repeat a doc_id
+    if sets.groupBy("cls").count().filter("count > 1").limit(1).count():  # rows that repeat a doc_id, or a text without one
         sets = common.materialise(sets.dropDuplicates(["cls"]), "sets")
     facts = ("n", "last", "alone")
     known = alive.select("cls", F.struct(*facts).alias("own"))

@@ -168,6 +168,17 @@ def test_jaccard_of_chains(spark):
     assert got == brute_jaccard(made)
 
 
+def test_jaccard_of_rows_without_doc_id(spark):
+    base = passage(200).split()
+    changed = lambda words, *at: [w if i not in at else f"{w}new{i}" for i, w in enumerate(words)]
+    bridge = changed(base, 20, 40, 60)
+    far = changed(bridge, 100, 120, 140)
+    other = passage(150).split()
+    made = [(1, " ".join(base)), (None, " ".join(bridge)), (None, " ".join(bridge)), (2, " ".join(far)), (None, " ".join(other)), (None, " ".join(changed(other, 70))), (3, passage(80))]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_jaccard(made) and {c for d, _, c in got if d in (1, 2)} == {1}
+
+
 def test_sharding(docs, empty, rows):
     got = sharding.shard_documents(docs, 5).collect()
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in rows)
