@@ -1,8 +1,8 @@
 """Toxicity by bags of subwords: embeddings of byte n-grams and words, averaged into a linear softmax.
 
 Embeddings and softmax are trained jointly in numpy, in one task, over a bounded sample of labelled rows (`SAMPLE_ROWS`
-of each class at most, in hash order of doc_id, so any size of table gives the same kind of sample; of these, texts up
-to `SAMPLE_BYTES` together). Misspelt or inflected words share the vectors of their n-grams; runs of one word count once. Scoring covers every row and whole
+of each class at most, in hash order of doc_id, so any size of table gives the same kind of sample; of these, in a
+mixed order, the texts that fit into `SAMPLE_BYTES`, of which each class has half and what the other leaves). Misspelt or inflected words share the vectors of their n-grams; runs of one word count once. Scoring covers every row and whole
 text: with the softmax fixed, an n-gram's part in the logit is one number, and a document's logit is their mean.
 
 Only texts enter a score. Null and empty texts have no features and get the score of the bias. Labels that are null
@@ -140,6 +140,23 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5))
 
 
+def fitting(order: list[int], found: dict[int, tuple[int, bytes]], limit: int) -> list[int]:
+    """Of documents (class and text) in an order those that fit into `limit` bytes; a class that has none of them gets its shortest."""
+    total = [sum(len(text) for own, text in found.values() if own == c) for c in (0, 1)]
+    left = [max(limit // 2, limit - total[1 - c]) for c in (0, 1)]
+    kept = set()
+    for doc in order:
+        own, text = found[doc]
+        if len(text) <= left[own]:
+            left[own] -= len(text)
+            kept.add(doc)
+    for c in (0, 1):
+        rest = [doc for doc in order if found[doc][0] == c]
+        if rest and kept.isdisjoint(rest):
+            kept.add(min(rest, key=lambda doc: len(found[doc][1])))
+    return [doc for doc in order if doc in kept]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> Model | None:
     """Learns from labelled documents outside fold 0."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold(F.col("doc_id")) != 0)
@@ -155,15 +172,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, limit: int
             for doc, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))):
                 found[doc] = (toxic, max(found.get(doc, (0, b""))[1], (text or "").encode()))
         mixed = sorted(found, key=lambda doc: (doc * 0x9E3779B97F4A7C15) % 2**64)
-        size = np.cumsum([len(found[doc][1]) for doc in mixed])
-        mixed = mixed[: int(np.searchsorted(size, limit, "right")) or 1]
+        mixed = fitting(mixed, found, limit)
+        if len({found[doc][0] for doc in mixed}) < 2:
+            return
         y = np.array([found[doc][0] for doc in mixed])
         # Each class weighs what it does among all labels.
         share = {c: totals[c] / sum(totals.values()) / max(1, int((y == c).sum())) * len(y) for c in (0, 1)}
         model = train([found[doc][1] for doc in mixed], y, np.array([share[c] for c in y]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.embedding, model.softmax, model.bias))], pa.binary())], ["model"])
 
-    return Model(*pickle.loads(taken.coalesce(1).mapInArrow(run, "model binary").collect()[0]["model"]))
+    fitted = taken.coalesce(1).mapInArrow(run, "model binary").collect()
+    return Model(*pickle.loads(fitted[0]["model"])) if fitted else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

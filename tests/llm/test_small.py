@@ -276,6 +276,20 @@ def test_toxicity(spark, docs, empty):
     assert len(none) == docs.count() and {r.score for r in none} == {0.0}
 
 
+def test_toxicity_with_a_very_long_text(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    used = [i for i in range(400) if fold(i)]
+    first = min(used, key=lambda doc: (doc * 0x9E3779B97F4A7C15) % 2**64)
+    made = [(i, passage(40) if i % 2 else " ".join(passage(6) + " " + R.choice(["moronic", "idiots"]) for _ in range(4))) for i in range(400) if i != first] + [(first, passage(40000))]
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i, _ in made], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    model = toxicity.fit(df, labels, limit=150_000)
+    got = [r for r in toxicity.score(df, model).collect() if r.held_out]
+    assert len(got) > 50 and np.mean([r.predicted == 1 - r.doc_id % 2 for r in got]) > 0.95
+    found = {1: (0, b"x" * 90), 2: (1, b"y" * 10), 3: (0, b"x" * 9), 4: (1, b"y" * 200)}
+    assert toxicity.fitting([1, 2, 3, 4], found, 100) == [2, 3] and toxicity.fitting([1, 4], found, 20) == [1, 4] and toxicity.fitting([1, 3, 2], {i: found[i] for i in (1, 2, 3)}, 109) == [1, 3, 2]
+
+
 @pytest.mark.parametrize("widths", [(8, 32), (1, 32)])
 def test_exact(docs, empty, rows, widths):
     made = [exact.normalise((t or "").encode()) for _, t in rows]
