@@ -3,6 +3,7 @@
 Written with Spark's text writer (a record is its text, closed by two line ends), so archives go wherever Spark can
 write. The data source plans one partition for each run of files of about `splitBytes`, takes predicates on headers from
 the query, parses the headers of a record first and seeks past the blocks of records that no predicate or option wants.
+In a gzip archive, which is one stream for a whole file, blocks that are passed are still decompressed.
 
 Null payloads are empty; a record of equal payloads with the largest id is the response, the others (rows that repeat
 that id excepted) revisit it. Line ends in a target are percent-encoded; a null target is left out; a null id is written
