@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from labelwright.llm import bpe, exact, jaccard, media, mixing, packing, pretokens, sharding, tokencounts, toxicity, warc
+from labelwright.llm import bpe, exact, jaccard, media, mixing, packing, pretokens, sharding, tokencounts, toxicity, warc, words
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -228,40 +228,114 @@ def test_mixing(docs, empty, rows):
     assert mixing.score(empty).count() == 0
 
 
-def test_mixing_counts_every_context(spark, rows):
-    many = [(i, " ".join(f"{R.choice(VOCABULARY)} {R.choice('pqrst')}{R.randrange(3000)}" for _ in range(400))) for i in range(200, 230)]
-    made = [*((i, t) for i, t in rows if i is not None), *many]
-    words = sorted(set(VOCABULARY))[:30]
-    keys = np.sort(np.append(mixing.Words(*mixing.common.text_bytes(mixing.pa.array([" ".join(words)]))).keys, mixing.END_KEY))
-    code = mixing.Code(keys, np.arange(len(keys)) % 7 * 10.0, 50, np.arange(256) % 40)
-    train, own = (lambda i: zlib.crc32(str(i).encode()) % 5 != 1), (lambda i: zlib.crc32(str(i).encode()) % 5 == 2)
-
-    def places(text):
-        stream = mixing.Stream(mixing.Words(*mixing.common.text_bytes(mixing.pa.array([text or ""]))), code)
-        for k, pairs in enumerate(stream.pairs):
-            for symbol, pair in zip(stream.symbols.tolist(), pairs.tolist()):
-                way = code.bit[code.begin[symbol] : code.begin[symbol] + code.size[symbol]].tolist()
-                yield from ((k, pair >> mixing.LEAF_BITS, symbol >= code.bytes_at, tuple(way[:d]), bit) for d, bit in enumerate(way))
-
-    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3).withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))).withColumn("weights", F.col("fold") == 2)
-    parts = mixing.chunked(docs, code, 16)
-    sums, sent = mixing.summed(parts), spark.sparkContext.broadcast(code)
-    for whole in (True, False):
-        counts = Counter(p for i, t in made if train(i) and (whole or not own(i)) for p in places(t))
-        assert len({p[:-1] for p in counts}) > 20000
-        seen = 0
-        for batch, _, stream, tables in mixing.gathered(iter(mixing.answered(parts, sums, sent, whole).toArrow().to_batches()), code, 16):
-            starts = np.concatenate([[0], np.cumsum(stream.size)])
-            slots, _, owner = code.bits(stream.symbols, tables.starts(stream))
-            for doc, text in enumerate(batch.column("text").to_pylist()):
-                mine = (owner >= starts[doc]) & (owner < starts[doc + 1])
-                expected = [[(counts[(*p[:-1], 0)], counts[(*p[:-1], 1)]) for p in places(text) if p[0] == k] for k in range(mixing.CONTEXTS)]
-                for k in range(mixing.CONTEXTS):
-                    n = np.array(expected[k])
-                    assert np.abs(tables.logit[slots[k][mine]] - np.log((n[:, 1] + mixing.PRIOR) / (n[:, 0] + mixing.PRIOR))).max() < 0.002
-                    assert (tables.level[slots[k][mine]] == np.digitize(n.sum(1), [1, 4, 40])).all()
-                seen += 1
-        assert seen == len(made)
+def plain_model(rows, code, weights):
+    """The model of `mixing` word by word: logarithms of probabilities by row."""
+    low = lambda t: WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    key = lambda w: int(words.hashes(words.Lanes(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0])
+    listed = {int(k): i for i, k in enumerate(code.keys)}
+    train = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
+    way = lambda s: list(zip(code.way[code.begin[s] : code.begin[s] + code.size[s]].tolist(), code.bit[code.begin[s] : code.begin[s] + code.size[s]].tolist()))
+
+    def row_of(past, rows):
+        x = np.array([sum(b << 8 * k for k, b in enumerate(past))], np.uint64)
+        return int((words.mixed(x * words.STEP + np.uint64(rows)) >> np.uint64(65 - rows.bit_length()))[0])
+
+    def coded(text):
+        """(symbol, first row, second row, pair of words before or None) of what is coded."""
+        own, out, topic = low(text), [], mixing.OFTEN
+        for i, w in enumerate([*own, None]):
+            symbol = code.end if w is None else listed.get(key(w), code.escape)
+            out.append((symbol, "first", ("topic", topic), (own[i - 1] if i else None, own[i - 2] if i > 1 else None)))
+            if symbol == code.escape:
+                for k, b in enumerate([*w, 32]):
+                    past = [w[k - j] for j in range(1, 5) if k >= j]
+                    out.append((code.words + b, ("two", row_of(past[:2], mixing.ROWS[0])), ("four", row_of(past, mixing.ROWS[1])), None))
+            elif w is not None and code.often[symbol] >= 0:
+                topic = int(code.often[symbol])
+        return out
+
+    every = [coded(t) for _, t in rows]
+    seen, next_of = defaultdict(Counter), defaultdict(Counter)
+    for (doc, _), own in zip(rows, every):
+        for symbol, first, second, pair in own if train(doc) else []:
+            seen["first"][symbol] += pair is not None
+            for context in (first, second):
+                for node, bit in way(symbol) if context != "first" else []:
+                    seen[context][(node, bit)] += 1
+            if pair:
+                next_of[pair][symbol] += 1
+
+    def odds(context, node):
+        if context == "first":
+            return int(code.first_odds[node])
+        zero, one = seen[context][(node, 0)], seen[context][(node, 1)]
+        backed = context[0] == "topic"
+        p = 1 / (1 + np.exp(-float(mixing.VALUE[code.first_odds[node]]))) if backed else 0.5
+        m = mixing.BACKING if backed else 2 * mixing.PRIOR
+        logit = np.log((one + m * p) / (zero + m * (1 - p)))
+        return int(np.clip(np.rint(logit * 4), -32, 31)) + 32 | int(np.digitize(zero + one, [1, 4, 40])) << 6
+
+    out = []
+    for (doc, _), own in zip(rows, every):
+        mine = defaultdict(Counter)
+        for symbol, *_, pair in own:
+            mine[pair][symbol] += train(doc)
+        w, total = weights.astype(np.float64).copy(), 0.0
+        for at in range(0, len(own), mixing.BLOCK):
+            step, n = np.zeros_like(w), np.zeros(w.shape[1])
+            for symbol, first, second, pair in own[at : at + mixing.BLOCK]:
+                likely, sure = None, 0
+                known = next_of[pair].most_common() if pair else []
+                best = [(c - mine[pair][s], -i, s) for i, (s, c) in enumerate(sorted(known, key=lambda x: (-x[1], x[0]))[:2])]
+                if best and max(best)[0] > 0:
+                    count, _, likely = max(best)
+                    rest = sum(next_of[pair].values()) - sum(mine[pair].values()) - count
+                    sure = int(np.digitize(count, [2, 3, 6])) * 3 + (0 if rest == 0 else 1 if rest <= count else 2)
+                agree = likely is not None
+                for depth, (node, bit) in enumerate(way(symbol)):
+                    second_odds = odds(second, node)
+                    said = 0.0
+                    gate = (0 if symbol < code.words else mixing.GATES - 4) + (second_odds >> 6)
+                    if agree:
+                        said = 1.0 if way(likely)[depth][1] else -1.0
+                        gate = 4 + (sure * 4 + int(mixing.STEPS_OF_DEPTH[depth])) * 4 + (second_odds >> 6)
+                        agree = way(likely)[depth][1] == bit
+                    x = np.array([mixing.VALUE[odds(first, node)], mixing.VALUE[second_odds], said, 1.0])
+                    p = 1 / (1 + np.exp(-float(w[:, gate] @ x)))
+                    total += np.log(p if bit else 1 - p)
+                    step[:, gate] += (bit - p) * x
+                    n[gate] += 1
+            w += step * mixing.OWN_RATE / (n + mixing.OWN_PRIOR)
+        out.append(total / np.log(10))
+    return out
+
+
+def test_mixing_equals_a_plain_model(spark, rows, monkeypatch):
+    some = [f"{R.choice(VOCABULARY)} {R.choice('pqrst')}{R.randrange(60)}" for _ in range(60)]
+    many = [(i, " ".join(R.choice(some) for _ in range(R.randint(1, 400)))) for i in range(200, 230)]
+    made = [*rows, *many, (300, many[3][1]), (301, many[4][1])]
+    held = {}
+
+    def weights(chunks, code, tables, share, real=mixing.fit_weights):
+        held["code"], held["weights"] = code.value, real(chunks, code, tables, share)
+        return held["weights"]
+
+    monkeypatch.setattr(mixing, "fit_weights", weights)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in made], "doc_id long, text string, chunk string, at int")
+    monkeypatch.setattr(mixing, "CHUNK_BYTES", 30000)
+    key = lambda r: (r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.score)
+    got = sorted(map(key, mixing.score(docs.repartition(3), top=150).collect()))
+    code = held["code"]
+    sizes = code.size[: code.words].astype(float)
+    assert sum(2.0**-sizes) == pytest.approx(1) and len({(c, s) for c, s in zip(code.code[: code.words].tolist(), sizes.tolist())}) == code.words
+    assert np.abs(held["weights"] - np.array(mixing.START)[:, None]).max() > 0.2
+    plain = plain_model(made, code, held["weights"])
+    expected = sorted((i if i is not None else -1, len(WORD.findall((t or "").encode())) + 1, s) for (i, t), s in zip(made, plain))
+    assert [x[:2] for x in got] == [x[:2] for x in expected]
+    assert np.abs(np.array([a[2] - b[2] for a, b in zip(got, expected)])).max() < 2e-3
+    # The same rows in another order, in chunks of another size, with counts in two steps.
+    monkeypatch.setattr(mixing, "CHUNK_BYTES", 4000)
+    assert got == sorted(map(key, mixing.score(docs.repartition(5, "text"), top=150, salt_words=4000).collect()))
 
 
 def test_toxicity(spark, docs, empty):
