@@ -232,7 +232,7 @@ def plain_model(rows, code, weights):
     """The model of `mixing` word by word: logarithms of probabilities by row."""
     low = lambda t: WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     key = lambda w: int(words.hashes(words.Lanes(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0])
-    listed = {int(k): i for i, k in enumerate(code.keys)}
+    listed = {int(k): int(i) for k, i in zip(code.keys, code.order)}
     train = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
     way = lambda s: list(zip(code.way[code.begin[s] : code.begin[s] + code.size[s]].tolist(), code.bit[code.begin[s] : code.begin[s] + code.size[s]].tolist()))
 
@@ -298,7 +298,7 @@ def plain_model(rows, code, weights):
                     gate = (0 if symbol < code.words else mixing.GATES - 4) + (second_odds >> 6)
                     if agree:
                         said = 1.0 if way(likely)[depth][1] else -1.0
-                        gate = 4 + (sure * 4 + int(mixing.STEPS_OF_DEPTH[depth])) * 4 + (second_odds >> 6)
+                        gate = 4 + (sure * 4 + 0) * 4 + int(mixing.STEPS_OF_DEPTH[depth]) + (second_odds >> 6)
                         agree = way(likely)[depth][1] == bit
                     x = np.array([mixing.VALUE[odds(first, node)], mixing.VALUE[second_odds], said, 1.0])
                     p = 1 / (1 + np.exp(-float(w[:, gate] @ x)))
