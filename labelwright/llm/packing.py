@@ -117,6 +117,8 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "token_ids"]
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names[: len(out[0])])
+        del words
+        common.released()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", token_ids binary" * with_ids)
 

@@ -9,10 +9,12 @@ character outside the blocks whose classes all Unicode versions agree on goes to
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from . import words
+
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 SAFE_BLOCKS = ((0, 0x250), (0x2000, 0x2070))
 #: Characters of the property White_Space inside SAFE_BLOCKS (fixed values).
@@ -59,59 +61,58 @@ def starts(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def word_keys(chars: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each match: a polynomial over random values of its characters, its length mixed in."""
-    n = len(chars)
-    upto = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[np.minimum(chars, len(VALUES) - 1)] * powers(MULTIPLIER, n))])
-    ends = np.append(at[1:], n)
-    key = (upto[ends] - upto[at]) * powers(INVERSE, n)[at] + (ends - at).astype(np.uint64) * MIX
-    return (key ^ (key >> np.uint64(29))) * MIX
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), base, np.uint64)]))
-
-
-VALUES = np.random.default_rng(20240607).integers(1, 2**63, SAFE_BLOCKS[-1][1], dtype=np.uint64)
-MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
-
-
 class WordTable:
     """Ids of words, each encoded once by `encode` (one word to its ids); forgets all beyond `limit` words.
 
-    Words are told apart by 64-bit keys: of half a million words in one table two clash with a chance of 1e-8.
+    Words are found by 64-bit hashes and then compared with the word of the table, character by character; one that
+    differs is encoded for itself. Texts that hold one of the names `special` go to `whole`.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], whole: Callable[[str], list[int]], limit: int = 500_000):
-        self.encode, self.whole, self.limit = encode, whole, limit
+    def __init__(self, encode: Callable[[str], list[int]], whole: Callable[[str], list[int]], special: Sequence[str] = (), limit: int = 300_000):
+        self.encode, self.whole, self.special, self.limit = encode, whole, [s for s in special if s], limit
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.chars, self.first, self.width = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.lanes = words.Lanes(np.zeros(0, np.uint8))
+
+    def add(self, joined: str, chars: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encodes the words between some places; their numbers in the table."""
+        coded = [self.encode(joined[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
+        size, width = np.fromiter(map(len, coded), np.int64, len(coded)), ends - first
+        number = len(self.size) + np.arange(len(coded))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(size.sum()))])
+        self.first = np.concatenate([self.first, len(self.chars) + np.cumsum(width) - width])
+        self.width = np.concatenate([self.width, width])
+        self.chars = np.concatenate([self.chars, chars[np.arange(int(width.sum())) + np.repeat(first - (np.cumsum(width) - width), width)]])
+        self.lanes = words.Lanes(self.chars.view(np.uint8))
+        return number
 
     def lookup(self, joined: str, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
         if len(self.keys) > self.limit:
             self.clear()
-        keys, first, back = np.unique(word_keys(chars, at), return_index=True, return_inverse=True)
+        lanes, ends = words.Lanes(chars.view(np.uint8)), np.append(at[1:], len(chars))
+        keys, first, back = np.unique(words.hashes(lanes, 4 * at, 4 * (ends - at)), return_index=True, return_inverse=True)
         near = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = near < len(self.keys)
         known[inside] = self.keys[near[inside]] == keys[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            begin, ends = at[first[new]].tolist(), np.append(at[1:], len(chars))[first[new]].tolist()
-            coded = [self.encode(joined[a:b]) for a, b in zip(begin, ends)]
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
-            place = len(self.size) + np.arange(len(new))
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(size.sum()))])
+            place = self.add(joined, chars, at[first[new]], ends[first[new]])
             self.place = np.insert(self.place, near[new], place)
             self.keys = np.insert(self.keys, near[new], keys[new])
             near = np.searchsorted(self.keys, keys)
-        return self.place[near][back]
+        found = self.place[near][back]
+        width = ends - at
+        other = np.flatnonzero((self.width[found] != width) | words.differing(lanes, 4 * at, self.lanes, 4 * self.first[found], 4 * width))
+        if len(other):
+            found[other] = self.add(joined, chars, at[other], ends[other])
+        return found
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end and how many each has."""
@@ -123,8 +124,11 @@ class WordTable:
             return np.zeros(0, np.uint32), counts
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         unsure = CLASSES[np.minimum(chars, 0xFFFF)] == UNSURE
-        if unsure.any():
-            odd = np.unique(np.searchsorted(ends, np.flatnonzero(unsure), "right"))
+        odd = np.searchsorted(ends, np.flatnonzero(unsure), "right")
+        if any(s in joined for s in self.special):
+            odd = np.append(odd, [i for i, text in enumerate(texts) if any(s in text for s in self.special)])
+        if len(odd):
+            odd = np.unique(odd.astype(np.int64))
             parts, begin = [], 0
             for i in [*odd.tolist(), len(texts)]:
                 if i > begin:
@@ -151,14 +155,13 @@ class WordTable:
 def byte_level_table(tokenizer_path: str) -> WordTable:
     """A table for a byte-level BPE file of the tokenizers library.
 
-    Texts outside SAFE_BLOCKS are encoded by that library. Single words are merged by tiktoken with the same
+    Texts outside SAFE_BLOCKS and those that hold the name of a special token are encoded by that library. Single words are merged by tiktoken with the same
     vocabulary as ranks, which gives the same ids at a tenth of the time; that needs ids in order of the merges.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     shown = dict(zip(map(chr, [*plain, *range(256, 512 - len(plain))]), [*plain, *(b for b in range(256) if b not in set(plain))]))
     vocabulary = {bytes(shown[c] for c in token): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in shown for c in token)}
@@ -166,4 +169,4 @@ def byte_level_table(tokenizer_path: str) -> WordTable:
     ranks = {token: i for token, i in vocabulary.items() if token.decode("utf-8", "replace") not in special}
     merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
     whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    return WordTable(lambda word: merge(word.encode()), whole)
+    return WordTable(lambda word: merge(word.encode()), whole, sorted(special))
