@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step holds at a time; longer texts are taken alone.
 SLICE_BYTES = 2 << 20
-#: Rows a step may broadcast after they were counted; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes a step may broadcast after they were counted; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,30 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows; otherwise the join is left to shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, which should be a written table, with a broadcast hint if it has few rows and bytes; otherwise the join is left to
+    shuffle, and Spark splits keys that are hot on the other side, as a written table needs no aggregate above its exchange."""
+    wide = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = sum((F.coalesce(c, F.lit(0)).cast("long") for c in wide), F.lit(0).cast("long"))
+    seen = df.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= limit and seen["n"] * 8 * len(df.columns) + seen["bytes"] <= most else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A written copy of the rows with a number of their own, and that column's name: steps that decide row by row read this copy."""
+    row = fresh(df, "row")[0]
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def partitions(spark: SparkSession) -> int:
