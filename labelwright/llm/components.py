@@ -12,7 +12,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u > v). Large: each node's greater neighbours get its least neighbour. Small: its lesser ones do."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    # Written, as Spark then splits the neighbours of a hub.
+    least = common.materialise(least, "least")
+    joined = both.join(common.small(least), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

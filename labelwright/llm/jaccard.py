@@ -26,41 +26,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .pretokens import powers
+from .words import SEED, STEP, Words, mixed
 
 WORDS, PERCENT = 5, 80
 #: Tokens that are counted as common, and in how many texts of a stretch of STRETCH tokens one must be to be counted.
 COMMON, LOCAL, STRETCH = 1 << 18, 3, 4_000_000
-LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_random = np.random.default_rng(55)
-VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64)
-STEP, MIX, SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-BACK = np.uint64(pow(int(STEP), -1, 2**64))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * MIX
-    return x ^ (x >> np.uint64(29))
-
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of each text in ascending order, end to end, and where each text's begin (one more than texts)."""
     n = len(offsets) - 1
-    text = np.full(len(data) + n + 1, 32, np.uint8)
-    text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = LOWER[data]
-    white = (text == 32) | ((text >= 9) & (text <= 13))
-    total = len(text)
-    upto = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[text] * powers(STEP, total))])
-    first = np.flatnonzero(~white[1:] & white[:-1]) + 1
-    last = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    word = mixed((upto[last] - upto[first]) * powers(BACK, total)[first] + (last - first).astype(np.uint64) * SEED)
-    begin = np.searchsorted(first, offsets + np.arange(n + 1))
-    counts = np.diff(begin)
+    found = Words(data, offsets)
+    word, begin, counts = found.keys(), found.begin, found.counts
+    del found
     owners, tokens = [], []
     for size in range(1, words + 1):
         at = np.arange(len(word) - words + 1) if size == words else begin[:-1][counts == size]
@@ -140,14 +122,16 @@ def common_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held = []
         if held:
             yield counted()
+            held = []
+        common.released()
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, n long")
     top = found.groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     return top.column("token").to_numpy().view(np.uint64).copy(), top.column("n").to_numpy().copy()
 
 
-def prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
-    """doc_id, key, n, cls, the first order's prefix, its length and its last rank; the prefix only for the first of equal sets that a task sees."""
+def prefixes(docs: DataFrame, orders: Orders, row: str | None = None) -> DataFrame:
+    """doc_id, row (that column if named), key, n, cls, the first order's prefix, its length and its last rank; the prefix only for the first of equal sets that a task sees."""
     sent = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +152,10 @@ def prefixes(docs: DataFrame, orders: Orders) -> DataFrame:
                         kept.append(sent.value.prefix(tokens[a:b], ranks[a:b]).tobytes())
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n.astype(np.int64)), pa.array(names, pa.int64()), pa.array(kept, pa.binary()), pa.array([prefix_length(x) for x in n.tolist()], pa.int64()), pa.array(last, pa.int64())], ["doc_id", "key", "n", "cls", "prefix", "p", "last"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("key"), pa.array(n.astype(np.int64)), pa.array(names, pa.int64()), pa.array(kept, pa.binary()), pa.array([prefix_length(x) for x in n.tolist()], pa.int64()), pa.array(last, pa.int64())], ["doc_id", "row", "key", "n", "cls", "prefix", "p", "last"])
+        common.released()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), common.text_key().alias("key")).mapInArrow(run, "doc_id long, key long, n long, cls long, prefix binary, p long, last long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), common.text_key().alias("key"), (F.col(row) if row else F.lit(0).cast("long")).alias("row")).mapInArrow(run, "doc_id long, row long, key long, n long, cls long, prefix binary, p long, last long")
 
 
 def meetings(prefixed: DataFrame) -> DataFrame:
@@ -254,6 +239,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, orders: Orders) -> DataFrame
                 names = ("cls", "n", "tokens", "second", "third")
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names)
+        common.released()
 
     texts = docs.select(found_by(F.col("doc_id").cast("long"), common.text_key()), F.col("text").cast("string").alias("text")).select("rep.*", "text")
     texts = texts.join(common.small(classes.select("cls", "rep.*")), ["none", "at"])
@@ -362,24 +348,30 @@ def links(docs: DataFrame, made: DataFrame, orders: Orders) -> DataFrame:
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
 
 
+def components_of(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Written rows (doc_id, row, n, root) and components of more than one row (root, best: that row of it which stays)."""
+    orders = Orders(*common_tokens(docs))
+    made = common.materialise(prefixes(docs, orders, row), "prefixes")
+    short = common.materialise(made.select("doc_id", "row", "n", "cls"), "documents")
+    roots = common.materialise(components(links(docs, made, orders)).withColumnRenamed("node", "cls"), "roots")
+    rows = common.materialise(short.join(common.small(roots), "cls", "left").withColumn("root", F.coalesce("root", "cls")).drop("cls"), "rows")
+    common.discard(short)
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("best")
+    groups = rows.filter("root is not null").groupBy("root").agg(best, F.count("*").alias("size")).filter("size > 1").drop("size")
+    common.swept(docs.sparkSession)
+    return rows, common.materialise(groups, "groups")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    orders = Orders(*common_tokens(docs))
-    made = common.materialise(prefixes(docs, orders), "prefixes")
-    short = common.materialise(made.select("doc_id", "n", "cls"), "documents")
-    roots = components(links(docs, made, orders)).withColumnRenamed("node", "cls")
-    rows = short.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rows = common.materialise(rows, "rows")
-    named = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(named, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    rows, groups = components_of(docs)
+    return rows.join(common.small(groups), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the rows with its least doc_id, one of rows that repeat it; rows without doc_id stay."""
-    groups = common.materialise(near_duplicates(docs), "groups")
-    gone = common.small(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = common.small(groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id", F.lit(True).alias("_repeated")))
-    marked = stay.join(repeated, "doc_id", "left")
-    once = marked.filter("_repeated").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_nth = 1")
-    return marked.filter("_repeated is null").select(docs.columns).unionByName(once.select(docs.columns))
+    """Of each component one row, the one with the smallest doc_id (null last), with all its columns; rows without words stay.
+    Decided row by row, whatever doc_ids repeat."""
+    own, row = common.numbered(docs, "documents")
+    rows, groups = components_of(own, row)
+    gone = rows.join(common.small(groups), "root").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
+    return own.join(common.small(common.materialise(gone, "gone")), row, "left_anti").select(docs.columns)
