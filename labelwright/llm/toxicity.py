@@ -19,22 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
-from .pretokens import powers
+from .words import Lanes, hashes, mixed, spaced
 
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 24 << 20
 BITS, DIM, SIZES = 18, 8, (3, 4, 5, 6)
-EPOCHS, BATCH, RATE, SEED = 15, 32, 0.5, 11
+EPOCHS, BATCH, RATE, SEED, SPREAD = 15, 32, 0.5, 11, 0.05
 #: An n-gram counts from this many sampled texts on; so many neutral ones join each mean, so that few words alone decide less.
 LEAST_TEXTS, NEUTRAL = 3, 300
 
-_random = np.random.default_rng(SEED)
-VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64)
-STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
-BACK = np.uint64(pow(int(STEP), -1, 2**64))
-
-
 def _letters() -> np.ndarray:
     """Lower-cases ASCII; digits, letters and bytes of other scripts stay, as do the signs that stand for letters."""
     out = np.full(256, 32, np.uint8)
@@ -49,25 +44,15 @@ LETTERS = _letters()
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each kind of n-gram: buckets, which of them count, and where each text's begin (one more than texts)."""
-    n = len(offsets) - 1
-    sizes = np.diff(offsets)
-    text = np.full(len(data) + n + 1, 32, np.uint8)
-    text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), sizes)] = LETTERS[data]
-    bounds = offsets + np.arange(n + 1)
+    text = spaced(data, offsets, LETTERS)
+    bounds = offsets + np.arange(len(offsets))
     white = text == 32
-    spaces = np.concatenate([[0], np.cumsum(white)])
+    spaces = np.concatenate([[0], np.cumsum(white, dtype=np.int32)])
     total = len(text)
-    upto = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[text] * powers(STEP, total))])
-    back = powers(BACK, total)
-
-    def bucket(begin: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
-        key = (upto[end] - upto[begin]) * back[begin] + np.uint64(kind * int(MIX) % 2**64)
-        key = (key ^ (key >> np.uint64(31))) * MIX
-        return (key >> np.uint64(64 - BITS)).astype(np.int64)
-
+    last_bits = np.uint64(64 - BITS)
     first = np.flatnonzero(~white[1:] & white[:-1]) + 1
     last = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    words = bucket(first, last, 1)
+    words = (hashes(Lanes(text), first, last - first) >> last_bits).astype(np.int32)
     # A word that repeats the one before it in its text does not count again.
     again = np.zeros(len(first), bool)
     again[1:] = (words[1:] == words[:-1]) & (np.searchsorted(bounds, first[1:], "right") == np.searchsorted(bounds, first[:-1], "right"))
@@ -75,12 +60,17 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     change[first[again] - 1] += 1
     change[last[again]] -= 1
     fresh = np.cumsum(change[:-1]) == 0
-    for size in SIZES:
-        if total >= size:
-            begin = np.arange(total - size + 1)
+    gram = np.zeros(total, np.uint64)
+    for size in range(1, SIZES[-1] + 1):
+        if total < size:
+            break
+        # The bytes of an n-gram are its key, so that no two share one before buckets are made.
+        gram = gram[: total - size + 1]
+        gram |= text[size - 1 :].astype(np.uint64) << np.uint64(8 * (size - 1))
+        if size in SIZES:
             inner = spaces[size - 1 : total] - spaces[1 : total - size + 2] == 0
-            full = inner & (spaces[size:] - spaces[: total - size + 1] < size)
-            yield bucket(begin, begin + size, size), full & fresh[: len(begin)], np.minimum(bounds, len(begin))
+            full = inner & (spaces[size:] - spaces[: total - size + 1] < size) & fresh[: len(gram)]
+            yield (mixed(gram + np.uint64(size << 56)) >> last_bits).astype(np.int32), full, np.minimum(bounds, len(gram))
     yield words, ~again, np.searchsorted(first, bounds)
 
 
@@ -101,15 +91,23 @@ class Model:
 
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> Model:
     """Adagrad on the softmax's log loss. The gradient of an embedding is a number times the difference of the softmax rows."""
+
+    def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        found = [b[f] for b, f, _ in grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))]
+        return np.unique(np.concatenate(found), return_counts=True)
+
+    # Twice through the texts, so that n-grams that don't count are never held.
+    among = np.zeros(1 << BITS, np.int32)
+    for text in texts:
+        among[bag(text)[0]] += 1
     bags = []
     for text in texts:
-        found = [b[f] for b, f, _ in grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))]
-        keys, counts = np.unique(np.concatenate(found), return_counts=True)
-        bags.append((keys.astype(np.int32), (counts / (counts.sum() + NEUTRAL)).astype(np.float32)))
-    common_enough = np.bincount(np.concatenate([keys for keys, _ in bags]), minlength=1 << BITS) >= LEAST_TEXTS
-    bags = [(keys[common_enough[keys]], share[common_enough[keys]]) for keys, share in bags]
+        keys, counts = bag(text)
+        own = among[keys] >= LEAST_TEXTS
+        bags.append((keys[own], (counts[own] / (counts.sum() + NEUTRAL)).astype(np.float32)))
     random = np.random.default_rng(SEED)
-    embedding = np.zeros((1 << BITS, DIM), np.float32)
+    embedding = random.normal(0, SPREAD, (1 << BITS, DIM)).astype(np.float32)
+    embedding[among < LEAST_TEXTS] = 0
     softmax = random.normal(0, 1, (2, DIM)).astype(np.float32)
     bias = np.zeros(2)
     seen_e, seen_w, seen_b = np.full(1 << BITS, 1e-8, np.float32), np.full((2, DIM), 1e-8), np.full(2, 1e-8)
@@ -178,28 +176,41 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, limit: int
         y = np.array([found[doc][0] for doc in mixed])
         # Each class weighs what it does among all labels.
         share = {c: totals[c] / sum(totals.values()) / max(1, int((y == c).sum())) * len(y) for c in (0, 1)}
-        model = train([found[doc][1] for doc in mixed], y, np.array([share[c] for c in y]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.embedding, model.softmax, model.bias))], pa.binary())], ["model"])
-
-    fitted = taken.coalesce(1).mapInArrow(run, "model binary").collect()
+        texts = [found[doc][1] for doc in mixed]
+        found.clear()
+        model = train(texts, y, np.array([share[c] for c in y]))
+        own = pickle.dumps((model.embedding, model.softmax, model.bias))
+        del model
+        yield pa.RecordBatch.from_arrays([pa.array([own], pa.binary())], ["model"])
+        found.clear()
+        common.released()
+
+    # The sample, which is bounded, meets in one task; documents are read and joined in all.
+    fitted = taken.repartition(1).mapInArrow(run, "model binary").collect()
     return Model(*pickle.loads(fitted[0]["model"])) if fitted else None
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    own = docs.sparkSession.sparkContext.broadcast(None if model is None else model.parts), None if model is None else model.bias
+def scored(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
+    """All rows and columns of docs, and the score under a name that no column has."""
+    sent = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.parts, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, bias = own[0].value, own[1]
         scorer = Model.__new__(Model)
-        scorer.parts, scorer.bias = parts, bias
+        if sent.value is not None:
+            scorer.parts, scorer.bias = sent.value
         for whole in batches:
-            for batch in common.slices(whole):
-                found = np.zeros(batch.num_rows) if parts is None else scorer.scores(*common.text_bytes(batch.column("text")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
+            texts = pa.RecordBatch.from_arrays([whole.column("text").cast(pa.string())], ["text"])
+            parts = [np.zeros(len(b)) if sent.value is None else scorer.scores(*common.text_bytes(b.column("text"))) for b in common.slices(texts)]
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], [*whole.schema.names, name])
+        common.released()
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, "score")
+    return rows.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,6 +218,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    bad = common.materialise(classify(docs, labels).filter("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(common.small(bad.filter("doc_id is not null")), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that are not predicted toxic, with all their columns; each by its own text."""
+    name = common.fresh(docs, "score")[0]
+    return scored(docs, fit(docs, labels), name).filter(F.col(name) < 0.5).select(docs.columns)
