@@ -6,8 +6,8 @@ texts whose recipe occurs more than once can be copies; their chunks alone trave
 an identifier that stands for two contents sends all candidates to identifiers of 32 bytes, which are verified again.
 After that equal recipes are equal texts, and only recipes are grouped and joined, however long the texts are.
 
-Null texts count as empty; empty texts are copies of each other. Of a group the row with the smallest doc_id stays, of
-rows that repeat it one; a null doc_id comes last. Other columns are ignored; an empty table gives no rows.
+Null texts count as empty; empty texts are copies of each other. Of a group one row stays, the one with the smallest
+doc_id; a null doc_id comes last. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -67,8 +67,8 @@ def identifier(chunk: bytes, width: int) -> bytes:
     return hashlib.blake2b(chunk, digest_size=width).digest()
 
 
-def recipes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row (unique), text_sha256 and recipe of every row."""
+def recipes(docs: DataFrame, width: int, row: str | None = None) -> DataFrame:
+    """doc_id, row (unique; that column if named), key of the raw text, text_sha256 and recipe of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -80,11 +80,14 @@ def recipes(docs: DataFrame, width: int) -> DataFrame:
                 text = normalise((text.as_py() or "").encode())
                 sha.append(hashlib.sha256(text).hexdigest())
                 recipe.append(b"".join(identifier(c, width) for c in chunks(text)))
-            rows = pa.array(range(row, row + len(sha)), pa.int64())
+            rows = pa.array(range(row, row + len(sha)), pa.int64()) if batch.column("row").null_count else batch.column("row")
             row += len(sha)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows, pa.array(sha), pa.array(recipe, pa.binary())], ["doc_id", "row", "text_sha256", "recipe"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows, batch.column("key"), pa.array(sha, pa.string()), pa.array(recipe, pa.binary())], ["doc_id", "row", "key", "text_sha256", "recipe"])
+        common.released()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, text_sha256 string, recipe binary")
+    own = F.col(row) if row else F.lit(None).cast("long")
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.text_key().alias("key"), own.alias("row"))
+    return columns.mapInArrow(run, "doc_id long, row long, key long, text_sha256 string, recipe binary")
 
 
 def ambiguous(docs: DataFrame, width: int) -> DataFrame:
@@ -107,37 +110,35 @@ def ambiguous(docs: DataFrame, width: int) -> DataFrame:
     return found.groupBy("id").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo <> hi").select("id")
 
 
-def verified_recipes(docs: DataFrame, widths: tuple[int, ...] = ID_BYTES) -> DataFrame:
-    """Recipes that are equal only for equal texts."""
-    made = common.materialise(recipes(docs, widths[0]), "recipes")
-    shared = made.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1").select("recipe")
-    ids = common.small(made.join(shared, "recipe", "left_semi").select("doc_id").distinct())
-    candidates = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    for i, width in enumerate(widths):
+def verified_recipes(docs: DataFrame, widths: tuple[int, ...] = ID_BYTES, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Written recipes that are equal only for equal texts, and those that occur more than once, with the row that stays and their number."""
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("best")
+    for width in widths:
+        made = common.materialise(recipes(docs, width, row), "recipes")
+        shared = common.materialise(made.groupBy("recipe").agg(best, F.count("*").alias("n")).filter("n > 1"), "groups")
+        # Rows are found again by their texts, whether they have a doc_id or not.
+        keys = common.small(common.materialise(made.join(common.small(shared.select("recipe")), "recipe", "left_semi").select("key").distinct(), "keys"))
+        candidates = docs.select(F.col("text").cast("string").alias("text")).withColumn("key", common.text_key()).join(keys, "key", "left_semi")
         if ambiguous(candidates, width).limit(1).count() == 0:
-            break
-        if i + 1 == len(widths):
-            raise ValueError(f"two different chunks have the same {8 * width} bits")
-        wider = recipes(docs, widths[i + 1]).select("row", F.col("recipe").alias("wider"))
-        made = common.materialise(made.join(wider, "row").select("doc_id", "row", "text_sha256", F.col("wider").alias("recipe")), "recipes")
-    return made
+            return made, shared
+        common.discard(made)
+    raise ValueError(f"two different chunks have the same {8 * widths[-1]} bits")
+
+
+def decided(docs: DataFrame, widths: tuple[int, ...] = ID_BYTES, row: str | None = None) -> DataFrame:
+    """A row per row of docs: doc_id, row, keep_id, group_size, kept, text_sha256."""
+    made, shared = verified_recipes(docs, widths, row)
+    joined = made.join(common.small(shared), "recipe", "left")
+    return joined.select("doc_id", "row", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("row") == F.coalesce("best.row", "row")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, widths: tuple[int, ...] = ID_BYTES) -> DataFrame:
     """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    made = verified_recipes(docs, widths)
-    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("best")
-    groups = made.groupBy("recipe").agg(best, F.count("*").alias("group_size"))
-    return made.join(groups, "recipe").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    return decided(docs, widths).drop("row")
 
 
 def keep_one(docs: DataFrame, widths: tuple[int, ...] = ID_BYTES) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows without doc_id stay: nothing tells them apart."""
-    decided = common.materialise(deduplicate(docs, widths), "copies")
-    per_id = decided.groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("_kept"), F.count("*").alias("_rows"))
-    odd = common.small(per_id.filter("_kept < _rows"))
-    joined = docs.join(odd, "doc_id", "left")
-    plain = joined.filter("_rows is null").select(docs.columns)
-    order = Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy("doc_id")
-    repeated = joined.filter("_kept > 0").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
-    return plain.unionByName(repeated)
+    """The rows of docs that stay, one for each text, with all their columns; decided row by row, whatever doc_ids repeat."""
+    own, row = common.numbered(docs, "documents")
+    gone = common.materialise(decided(own, widths, row).filter(~F.col("kept")).select(F.col("row").alias(row)), "gone")
+    return own.join(common.small(gone), row, "left_anti").select(docs.columns)
