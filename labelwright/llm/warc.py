@@ -3,7 +3,8 @@
 Written with Spark's text writer (a record is its text, closed by two line ends), so archives go wherever Spark can
 write. The data source plans one partition for each run of files of about `splitBytes`, takes predicates on headers from
 the query, parses the headers of a record first and seeks past the blocks of records that no predicate or option wants.
-In a gzip archive, which is one stream for a whole file, blocks that are passed are still decompressed.
+Archives are written uncompressed, so that seeking skips; gzip archives are read too, but as one stream for a whole file,
+of which blocks that are passed are still decompressed.
 
 Null payloads are empty; a record of equal payloads with the largest id is the response, the others (rows that repeat
 that id excepted) revisit it. Line ends in a target are percent-encoded; a null target is left out; a null id is written
@@ -45,7 +46,8 @@ def records(pages: DataFrame, key: str = "page_id", target: str = "url", payload
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).alias("key"), F.col(target).cast("string").alias("target"), body.alias("payload")).withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.length("payload").cast("long"))
     groups = rows.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "bytes", "first")
-    joined = rows.join(groups, ["digest", "bytes"], "left").withColumn("revisits", F.coalesce(F.col("key") < F.col("first"), F.lit(False)))
+    # Only payloads that repeat are joined, and their written list has a byte check: as a rule no payload is shuffled.
+    joined = rows.join(common.small(common.materialise(groups, "groups")), ["digest", "bytes"], "left").withColumn("revisits", F.coalesce(F.col("key") < F.col("first"), F.lit(False)))
     end = "\r\n"
     urn = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     clean = F.regexp_replace(F.regexp_replace("target", "\r", "%0D"), "\n", "%0A")
@@ -67,7 +69,7 @@ def records(pages: DataFrame, key: str = "page_id", target: str = "url", payload
     return joined.select(F.concat(F.concat_ws(end, *lines), F.lit(end + end), head, kept).alias("value"))
 
 
-def write(pages: DataFrame, path: str, compression: str = "gzip", **columns: Any) -> None:
+def write(pages: DataFrame, path: str, compression: str = "none", **columns: Any) -> None:
     records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
