@@ -27,7 +27,8 @@ from . import common
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-SKIPPED = {"script", "style", "template", "noscript", "head"}
+#: What is not shown; a head needs no rule of its own, as it holds nothing else.
+SKIPPED = {"script", "style", "template", "noscript", "title"}
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
 PART = "position int, kind string, text string, ref string, caption string, n_bytes long"
 
@@ -87,7 +88,7 @@ class Interleaved(HTMLParser):
         self.parts: list[list[Any]] = []
         self.text: list[str] = []
         self.skip = 0
-        self.figure: list[int] = []
+        self.figures: list[list[int]] = []
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -101,7 +102,7 @@ class Interleaved(HTMLParser):
             self.skip += 1
         elif tag == "figure":
             self.flush()
-            self.figure = []
+            self.figures.append([])
         elif tag == "figcaption":
             self.flush()
             self.caption = []
@@ -110,7 +111,8 @@ class Interleaved(HTMLParser):
             if own.get("src"):
                 self.flush()
                 size = own.get("data-bytes") or ""
-                self.figure.append(len(self.parts))
+                if self.figures:
+                    self.figures[-1].append(len(self.parts))
                 self.parts.append([MEDIA[tag], None, own["src"], own.get("alt") or None, int(size) if size.isdecimal() and len(size) < 19 else None])
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "br", "tr", "article", "section"):
             self.flush()
@@ -121,10 +123,11 @@ class Interleaved(HTMLParser):
         elif tag == "figcaption" and self.caption is not None:
             words = " ".join("".join(self.caption).split())
             self.caption = None
-            for i in self.figure:
+            for i in self.figures[-1] if self.figures else []:
                 self.parts[i][3] = words or self.parts[i][3]
         elif tag == "figure":
-            self.figure = []
+            self.flush()
+            del self.figures[-1:]
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "tr", "article", "section"):
             self.flush()
 
@@ -155,7 +158,9 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
 
 def resolve(sequenced: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """A row per media reference: key, the fields of the part, and the columns of its stored payload (one row per `digest`)."""
+    """A row per media reference: key, the fields of the part, and the columns of its stored payload (one row per `digest`), but for those that are named as a field of the part."""
+    part = ["position", "kind", "ref", "caption", "n_bytes"]
+    store = store.select("digest", *(c for c in store.columns if c.lower() not in {"digest", key.lower(), *part}))
     refs = sequenced.select(key, F.explode("parts").alias("part")).filter("part.ref is not null").select(key, "part.position", "part.kind", "part.ref", "part.caption", "part.n_bytes", F.regexp_extract("part.ref", "^digest:([0-9a-f]{64})$", 1).alias("digest"))
     return refs.join(store, "digest", "left")
 
@@ -172,7 +177,7 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
                     raw = (text or "").encode()
                     image = png(padded(raw))
                     digest = hashlib.sha256(image).hexdigest()
-                    html.append(f'<article><p>Document {doc}</p><figure><img src="digest:{digest}" data-bytes="{len(raw)}"><figcaption>Text of {doc}</figcaption></figure></article>')
+                    html.append(f'<article><p>Document</p><figure><img src="digest:{digest}" data-bytes="{len(raw)}"><figcaption>Text of {len(raw)} bytes</figcaption></figure></article>')
                     digests.append(digest)
                     images.append(None if digest in seen else image)
                     seen.add(digest)
@@ -204,5 +209,6 @@ def described(images: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """Texts stored as media, referred to from pages, resolved by digest and read back: a row per document."""
     stored = common.materialise(documents_as_media(docs), "media")
-    found = resolve(sequences(stored, "doc_id", "html"), described(stored), "doc_id")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature")
+    payloads = common.small(common.materialise(described(stored), "payloads"))
+    found = resolve(sequences(stored, "doc_id", "html"), payloads, "doc_id")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
