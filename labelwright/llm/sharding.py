@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def rendezvous(key: Column, weights: list[float]) -> Column:
-    """The shard (index into weights) of each key; ties go to the higher index."""
-    live = [(i, w) for i, w in enumerate(weights) if w > 0]
+def highest(key: Column, weights: list[float], first: int = 0) -> Column:
+    """The highest score (score, shard) of each key among shards numbered from `first` on; ties go to the higher number."""
+    live = [(i, w) for i, w in enumerate(weights, first) if w > 0]
     if not live:
         raise ValueError("no shard has a weight above 0")
 
@@ -27,26 +27,35 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
         return F.struct((F.lit(weight) / -F.log(u)).alias("score"), F.lit(shard).alias("shard"))
 
     scores = [score(i, w) for i, w in live]
-    return (F.greatest(*scores) if len(scores) > 1 else scores[0])["shard"]
+    return F.greatest(*scores) if len(scores) > 1 else scores[0]
+
+
+def rendezvous(key: Column, weights: list[float]) -> Column:
+    """The shard (index into weights) of each key."""
+    return highest(key, weights)["shard"]
 
 
 def slots(df: DataFrame, shard: str, order: list[str], name: str = "slot") -> DataFrame:
     """Adds the gapless place of each row in its shard."""
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(common.partitions(df.sparkSession))))
+    bucket, row, n, upto = common.fresh(df, "bucket", "row", "n", "upto")
+    bucketed = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(common.partitions(df.sparkSession))))
     before = (
-        bucketed.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(shard, "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
+        bucketed.groupBy(shard, bucket).agg(F.count("*").alias(n))
+        .withColumn(upto, F.sum(n).over(Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)))
+        .select(shard, bucket, F.coalesce(upto, F.lit(0)).alias(upto))
     )
-    row = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order))
-    joined = bucketed.withColumn("_row", row).join(before, [shard, "_bucket"])
-    return joined.select(*df.columns, (F.col("_before") + F.col("_row") - 1).cast("long").alias(name))
+    placed = bucketed.withColumn(row, F.row_number().over(Window.partitionBy(shard, bucket).orderBy(*order))).join(before, [shard, bucket])
+    return placed.select(*df.columns, (F.col(upto) + F.col(row) - 1).cast("long").alias(name))
 
 
 def assign(df: DataFrame, key: Column, weights: list[float], shard: str = "shard", grown: str | None = None, grown_weight: float = 1.0) -> DataFrame:
     """Adds the shard; with `grown`, also the one that each row has when a shard of grown_weight is added."""
-    out = df.withColumn(shard, rendezvous(key, weights))
-    return out.withColumn(grown, rendezvous(key, [*weights, grown_weight])) if grown else out
+    (best,) = common.fresh(df, "best")
+    out = df.withColumn(best, highest(key, weights)).withColumn(shard, F.col(best)["shard"])
+    if grown:
+        more = highest(key, [grown_weight], len(weights)) if grown_weight > 0 else F.col(best)
+        out = out.withColumn(grown, F.greatest(F.col(best), more)["shard"] if grown_weight > 0 else F.col(best)["shard"])
+    return out.drop(best)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
