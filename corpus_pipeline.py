@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of documents; the last one
 returns the pieces of the packed sequences. `run` writes each stage's result as Parquet and reads it for the next.
 
-Null texts count as empty and are kept; rows without doc_id are kept and packed (nothing else tells them apart); of rows
-that repeat a doc_id the duplicate stages keep one; extra columns pass through; empty tables give no rows.
+Every stage decides row by row, by the row's own text, whatever doc_ids repeat or are missing: a toxic row goes, of equal
+and of nearly equal texts the row with the smallest doc_id stays (a null doc_id last). Null texts count as empty, which are
+copies of each other. Extra columns pass through, whatever their names, up to the packing; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact_copies), ("ngram_jaccard_join", near_copies), ("best_fit_packing", pack)]
 
-#: The classifier and the packing are beyond SQL; tests hold the stages against brute-force versions.
+#: The classifier and the packing are beyond SQL; tests/llm/test_rows.py holds the stages and run() against plain Python.
 ORACLE_SQL = None
 
 
