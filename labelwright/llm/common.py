@@ -15,16 +15,27 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step holds at a time; longer texts are taken alone.
 SLICE_BYTES = 2 << 20
+#: Bytes of a batch that goes to a Python worker.
+ARROW_BYTES, ARROW_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows and bytes a step may broadcast after they were counted; beyond them the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 
+def bounded(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of ARROW_BYTES, not of 64 MB, of which JVM and worker hold several each; a smaller setting stays."""
+    now = spark.conf.get(ARROW_CONF)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > ARROW_BYTES:
+        spark.conf.set(ARROW_CONF, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset (tests), below Spark's warehouse, which executors share too."""
+    bounded(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
