@@ -20,38 +20,61 @@ def _grid(words: list[str], place: dict[str, int]) -> tuple[np.ndarray, np.ndarr
     return out, size
 
 
+#: Pairs that advance through the table together, so that a row of it stays in the cache.
+BLOCK = 4096
+
+
+def _numbered(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Distinct upper-case words, and which of them each word is."""
+    place: dict[str, int] = {}
+    at = np.fromiter((place.setdefault((w or "").upper(), len(place)) for w in words), np.int64, len(words))
+    return list(place), at
+
+
 def distances(a: list[str], b: list[str], model: Confusion | None = None) -> np.ndarray:
-    """Restricted Damerau-Levenshtein distances of pairs under the model's costs; all pairs advance through the table together."""
-    model = model or Confusion()
-    a, b = [(x or "").upper() for x in a], [(x or "").upper() for x in b]
-    if not a:
+    """Restricted Damerau-Levenshtein distances of pairs under the model's costs; blocks of pairs advance through the table together."""
+    return _distances(_numbered(a), _numbered(b), model or Confusion())
+
+
+def _distances(a: tuple[list[str], np.ndarray], b: tuple[list[str], np.ndarray], model: Confusion) -> np.ndarray:
+    """The same for distinct words and which of them each pair has."""
+    if not len(a[1]):
         return np.zeros(0)
-    alphabet = sorted(set("".join(a)) | set("".join(b))) or [" "]
+    alphabet = sorted(set("".join(a[0])) | set("".join(b[0]))) or [" "]
     place = {c: i for i, c in enumerate(alphabet)}
     change, drop = model.costs(alphabet)
-    left, rows = _grid(a, place)
-    top, columns = _grid(b, place)
-    n, m = left.shape[1], top.shape[1]
-    insert = drop[top]
-    row = np.zeros((len(a), m + 1))
-    row[:, 1:] = np.cumsum(insert, 1)
+    (left, rows), (top, columns) = _grid(a[0], place), _grid(b[0], place)
+    pairs, back = np.unique(a[1] * len(b[0]) + b[1], return_inverse=True)
+    out = np.empty(len(pairs))
+    for lo in range(0, len(pairs), BLOCK):
+        x, y = np.divmod(pairs[lo : lo + BLOCK], len(b[0]))
+        n, m = max(1, rows[x].max()), max(1, columns[y].max())
+        out[lo : lo + BLOCK] = _table(left[x, :n].T.copy(), rows[x], top[y, :m].T.copy(), columns[y], change, drop, model.transpose_cost)
+    return out[back]
+
+
+def _table(left: np.ndarray, rows: np.ndarray, top: np.ndarray, columns: np.ndarray, change: np.ndarray, drop: np.ndarray, swap: float) -> np.ndarray:
+    """left, top: characters by place, then pair."""
+    every, insert, costs = np.arange(len(rows)), drop[top], change.ravel()
+    row = np.concatenate([np.zeros((1, len(rows))), np.cumsum(insert, 0)])
     before = row
-    out = np.where(rows == 0, row[np.arange(len(a)), columns], 0.0)
-    for i in range(1, n + 1):
-        char, delete = left[:, i - 1], drop[left[:, i - 1]]
+    out = np.where(rows == 0, row[columns, every], 0.0)
+    for i in range(1, len(left) + 1):
+        char, delete = left[i - 1], drop[left[i - 1]]
+        base = char * len(change)
         next_row = np.empty_like(row)
-        next_row[:, 0] = row[:, 0] + delete
-        for j in range(1, m + 1):
-            other = top[:, j - 1]
-            best = np.minimum(row[:, j] + delete, next_row[:, j - 1] + insert[:, j - 1])
-            best = np.minimum(best, row[:, j - 1] + change[char, other])
+        next_row[0] = row[0] + delete
+        for j in range(1, len(top) + 1):
+            best = np.minimum(row[j] + delete, next_row[j - 1] + insert[j - 1])
+            np.minimum(best, row[j - 1] + costs.take(base + top[j - 1]), out=best)
             if i > 1 and j > 1:
-                crossed = (char == top[:, j - 2]) & (left[:, i - 2] == other) & (char != other)
-                best = np.where(crossed, np.minimum(best, before[:, j - 2] + model.transpose_cost), best)
-            next_row[:, j] = best
+                crossed = np.flatnonzero((char == top[j - 2]) & (left[i - 2] == top[j - 1]) & (char != top[j - 1]))
+                if len(crossed):
+                    best[crossed] = np.minimum(best[crossed], before[j - 2][crossed] + swap)
+            next_row[j] = best
         before, row = row, next_row
-        done = rows == i
-        out[done] = row[done, columns[done]]
+        done = np.flatnonzero(rows == i)
+        out[done] = row[columns[done], done]
     return out
 
 
@@ -100,7 +123,12 @@ def _paired(scores):  # noqa: ANN001, ANN202
 
 
 def weighted_distance(a: Column, b: Column, model: Confusion | None = None) -> Column:
-    return _paired(lambda x, y: distances(x, y, model))(a, b)
+    @F.pandas_udf("double")
+    def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series(distances(x.tolist(), y.tolist(), model))
+
+    return udf.asNondeterministic()(a, b)
 
 
 def normalised(distance: Column, a: Column, b: Column) -> Column:

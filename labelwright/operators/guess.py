@@ -59,18 +59,21 @@ def with_distance(pairs: DataFrame, model: Confusion | None) -> DataFrame:
 def fuzzy(texts: DataFrame, master: DataFrame, params: GuessParams, model: Confusion | None = None) -> DataFrame:
     """observed, code, ord, distance: known codes within reach of each distinct text (column observed), but not the text itself.
 
-    Short lists go to every task; longer ones are joined on the length of the code.
+    Both are joined on the length of the code, of which each text has a band. Short lists go to every task, longer ones
+    are dealt by length and part.
     """
-    texts = texts.select("observed").distinct().withColumn("length", F.length("observed"))
-    codes = master.select("code", F.length("code").alias("size"), "ord")
     band = params.length_band
-    if master.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES:
-        pairs = texts.join(F.broadcast(codes), F.abs(F.col("size") - F.col("length")) <= band)
+    spark = texts.sparkSession
+    # Dealt out by a number of its own, as few texts make many pairs, whose cost Spark does not see.
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = texts.select("observed").repartition(n, "observed").distinct().withColumn("size", F.explode(F.sequence(F.greatest(F.length("observed") - band, F.lit(0)), F.length("observed") + band)))
+    codes = master.select("code", F.length("code").alias("size"), "ord")
+    parts = -(-master.count() // max(1, BROADCAST_CODES))
+    if parts <= 1:
+        pairs = texts.join(F.broadcast(codes), "size")
     else:
-        # Lengths are few: each text also goes to one of many parts of the list, all parts being met in turn.
-        parts = 64
-        reach = texts.withColumn("size", F.explode(F.sequence(F.col("length") - band, F.col("length") + band))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = reach.join(codes.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int")), ["size", "part"])
+        # Lengths are few: a length's codes are met in parts of a size that one task takes.
+        pairs = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(codes.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int")), ["size", "part"])
     near = with_distance(pairs.filter(F.col("code") != F.col("observed")).select("observed", "code", "ord"), model)
     return near.filter(metrics.normalised(F.col("distance"), F.col("observed"), F.col("code")) <= params.most_distance)
 

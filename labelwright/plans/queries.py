@@ -45,7 +45,7 @@ def r6(c: Column | str) -> Column:
 @query(f"""WITH e AS (SELECT {D_NORMAL.format('code')} AS code, trim(description) AS d, CASE WHEN cnt > 0 THEN cnt ELSE 1 END AS c, ord FROM {D_ENTRIES})
     SELECT code, arg_min(d, ord) FILTER (WHERE d <> '') AS description, CAST(sum(c) AS DOUBLE) AS cnt FROM e GROUP BY code""")
 def master_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return master.upsert(S.frame(spark, sf_dir, S.ENTRIES), "ord")
+    return master.upsert(S.frame(spark, sf_dir, S.ENTRIES), "ord").drop("ord")
 
 
 @query(f"""WITH m AS {D_MASTER}, t AS (SELECT sum(cnt) AS s, count(*) AS n FROM m)
@@ -162,7 +162,7 @@ def code_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT req_id, unnest(string_split_regex(text, '\\s+')) AS token FROM {D_LABELS}), n AS (SELECT *, length(token) AS n, length(regexp_replace(token, '[^0-9]', '', 'g')) AS d, length(regexp_replace(token, '[^A-Za-z]', '', 'g')) AS l FROM t)
     SELECT req_id, token FROM n WHERE n BETWEEN 5 AND 19 AND d >= 3 AND l >= 1 AND NOT regexp_matches(token, '[.,:;%"'']') AND regexp_matches(token, '^[A-Za-z0-9]') AND d + l >= n - 1""")
 def plausible_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = S.frame(spark, sf_dir, S.LABELS).select("req_id", F.explode(F.split("text", r"\s+")).alias("token"))
+    tokens = S.labels(spark, sf_dir).select("req_id", F.explode(F.split("text", r"\s+")).alias("token"))
     return tokens.filter(Grammar().plausible_column(F.col("token")))
 
 
@@ -212,7 +212,7 @@ def shape_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT req_id, {D_NORMAL.format('line')} AS normalised, {D_CLEAN.format('line')} AS cleaned, translate(upper(regexp_replace(line, '[^A-Za-z0-9]', '', 'g')), '1058', 'IOSB') AS letters
     FROM (SELECT req_id, unnest(string_split(text, chr(10))) AS line FROM {D_LABELS})""")
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = S.frame(spark, sf_dir, S.LABELS).select("req_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = S.labels(spark, sf_dir).select("req_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.select("req_id", T.normalize_code(F.col("line")).alias("normalised"), T.clean_code(F.col("line")).alias("cleaned"), T.letters_key(F.col("line")).alias("letters"))
 
 
@@ -223,7 +223,7 @@ D_WORDS = f"""lines AS (SELECT req_id, string_split(text, chr(10)) AS l FROM {D_
 
 @query(f"WITH {D_WORDS} SELECT * FROM words")
 def label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.frame(spark, sf_dir, S.LABELS).select("req_id", F.explode(labels.words_of_text(F.col("text"))).alias("w"))
+    rows = S.labels(spark, sf_dir).select("req_id", F.explode(labels.words_of_text(F.col("text"))).alias("w"))
     first = F.min("w.pos").over(Window.partitionBy("req_id", "w.line"))
     return rows.select("req_id", F.col("w.line").alias("line"), (F.col("w.pos") - first).alias("nth"), F.col("w.text").alias("word"))
 
@@ -239,7 +239,7 @@ D_FIELDS = f"""{D_WORDS}, keyed AS (SELECT w.*, CASE WHEN letters = 'PO' AND lea
 
 @query(f"WITH {D_FIELDS} SELECT req_id, line, key, value FROM fields")
 def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labels.parse_labels(S.frame(spark, sf_dir, S.LABELS)).select("req_id", F.explode("fields").alias("f"))
+    rows = labels.parse_labels(S.labels(spark, sf_dir)).select("req_id", F.explode("fields").alias("f"))
     return rows.select("req_id", "f.line", "f.key", "f.value")
 
 
@@ -260,24 +260,24 @@ D_LABEL_FIELDS = f"""{D_FIELDS}, wide AS (SELECT req_id, {', '.join(f'{_first(k,
 
 @query(f"WITH {D_LABEL_FIELDS} SELECT req_id, {', '.join(labels.STRINGS)} FROM numbers")
 def label_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.parse_labels(S.frame(spark, sf_dir, S.LABELS)).select("req_id", *labels.STRINGS)
+    return labels.parse_labels(S.labels(spark, sf_dir)).select("req_id", *labels.STRINGS)
 
 
 @query(f"""WITH {D_LABEL_FIELDS} SELECT req_id, width_cm, round(quantity_m, 6) AS quantity_m, gross_kg, net_kg, gsm,
     round(CASE WHEN net_kg > 0 THEN net_kg / (gsm * (width_cm / 100) * quantity_m / 1000) END, 6) AS weight_consistency FROM numbers""")
 def label_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.parse_labels(S.frame(spark, sf_dir, S.LABELS)).select("req_id", *(r6(c).alias(c) for c in labels.NUMBERS))
+    return labels.parse_labels(S.labels(spark, sf_dir)).select("req_id", *(r6(c).alias(c) for c in labels.NUMBERS))
 
 
 @query(f"""WITH {D_LABEL_FIELDS}, long AS (UNPIVOT (SELECT req_id, {', '.join(labels.STRINGS)} FROM numbers) ON {', '.join(labels.STRINGS)} INTO NAME key VALUE value)
     SELECT req_id, key, value FROM long WHERE trim(value) <> ''""")
 def fields_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.fields_map(labels.parse_labels(S.frame(spark, sf_dir, S.LABELS))).select("req_id", F.explode("fields_map").alias("key", "value"))
+    return labels.fields_map(labels.parse_labels(S.labels(spark, sf_dir))).select("req_id", F.explode("fields_map").alias("key", "value"))
 
 
 @query(f"""SELECT req_id, nullif(regexp_extract(text, '(^|[^0-9])([0-9]{{12,14}})([^0-9]|$)', 2), '') AS barcode, nullif(regexp_extract(text, '20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}', 0), '') AS date FROM {D_LABELS}""")
 def barcode_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.frame(spark, sf_dir, S.LABELS).select("req_id", T.barcode(F.col("text")).alias("barcode"), T.iso_date(F.col("text")).alias("date"))
+    return S.labels(spark, sf_dir).select("req_id", T.barcode(F.col("text")).alias("barcode"), T.iso_date(F.col("text")).alias("date"))
 
 
 D_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mean_conf DESC, pass_no) AS pass_rank FROM {D_PASSES})"

@@ -65,5 +65,10 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, OBSERVATIONS).withColumn("symbols", F.lit(None).cast(SYMBOLS))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt out, as the driver's table of orders is one row group, which one task reads."""
+    return frame(spark, sf_dir, LABELS).repartition(spark.sparkContext.defaultParallelism)
+
+
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, PASSES).withColumn("words", words_of_text(F.col("text"), 0.7))
