@@ -71,8 +71,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTE
     shuffle, and Spark splits keys that are hot on the other side, as a written table needs no aggregate above its exchange."""
     wide = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
     size = sum((F.coalesce(c, F.lit(0)).cast("long") for c in wide), F.lit(0).cast("long"))
-    seen = df.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if seen["n"] <= limit and seen["n"] * 8 * len(df.columns) + seen["bytes"] <= most else df
+    rows = df.count()  # of a written table without reading rows; a limit would send them all to one task
+    if rows > limit or rows * 8 * len(df.columns) > most:
+        return df
+    held = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"] if wide else 0
+    return F.broadcast(df) if rows * 8 * len(df.columns) + held <= most else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
