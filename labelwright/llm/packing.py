@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 from .pretokens import byte_level_table
 
+#: Texts encoded at once, smaller than common.SLICE_BYTES: a worker's tokenizers take their own memory besides.
+SLICE_BYTES = 512 << 10
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -102,7 +105,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = byte_level_table(tokenizer_path)
         for whole in batches:
-            for batch in common.slices(whole):
+            for batch in common.slices(whole, limit=SLICE_BYTES):
                 flat, counts = words.texts([t or "" for t in batch.column("text").to_pylist()])
                 ends = np.cumsum(counts)
                 ids = np.insert(flat, ends, end_id).astype("<u4")
