@@ -18,12 +18,11 @@ from ..functions.confusion import Confusion
 from ..functions.grammar import Grammar
 from ..functions.text import normalize_code
 from .master import with_prior
+from .reach import within_reach
 from .repair import RepairParams, repairs
 
 SYMBOLS = "array<struct<ch:string,conf:double,choices:array<struct<ch:string,p:double>>>>"
 OBSERVATION = f"req_id long, obs_no int, text string, source string, conf double, symbols {SYMBOLS}"
-#: Codes of the master list that a join may send to every task.
-BROADCAST_CODES = 200_000
 
 
 @dataclass(frozen=True)
@@ -52,30 +51,9 @@ def source_weight(source: Column, params: GuessParams) -> Column:
     return F.when(source == "QualityField", params.quality_weight).when(source == "RawToken", params.raw_weight).otherwise(1.0)
 
 
-def with_distance(pairs: DataFrame, model: Confusion | None) -> DataFrame:
-    return pairs.withColumn("distance", metrics.weighted_distance(F.col("observed"), F.col("code"), model))
-
-
 def fuzzy(texts: DataFrame, master: DataFrame, params: GuessParams, model: Confusion | None = None) -> DataFrame:
-    """observed, code, ord, distance: known codes within reach of each distinct text (column observed), but not the text itself.
-
-    Both are joined on the length of the code, of which each text has a band. Short lists go to every task, longer ones
-    are dealt by length and part.
-    """
-    band = params.length_band
-    spark = texts.sparkSession
-    # Dealt out by a number of its own, as few texts make many pairs, whose cost Spark does not see.
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = texts.select("observed").repartition(n, "observed").distinct().withColumn("size", F.explode(F.sequence(F.greatest(F.length("observed") - band, F.lit(0)), F.length("observed") + band)))
-    codes = master.select("code", F.length("code").alias("size"), "ord")
-    parts = -(-master.count() // max(1, BROADCAST_CODES))
-    if parts <= 1:
-        pairs = texts.join(F.broadcast(codes), "size")
-    else:
-        # Lengths are few: a length's codes are met in parts of a size that one task takes.
-        pairs = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(codes.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int")), ["size", "part"])
-    near = with_distance(pairs.filter(F.col("code") != F.col("observed")).select("observed", "code", "ord"), model)
-    return near.filter(metrics.normalised(F.col("distance"), F.col("observed"), F.col("code")) <= params.most_distance)
+    """observed, code, ord, distance: known codes within reach of each distinct text (column observed), but not the text itself."""
+    return within_reach(texts, master, params.length_band, params.most_distance, model)
 
 
 def ordered_master(master: DataFrame) -> DataFrame:
