@@ -147,7 +147,10 @@ class Grammar:
         return [re.compile(p) for p in self.patterns]
 
     def valid(self, code: str) -> bool:
-        return bool(code) and any(p.search(code) for p in self._compiled)
+        for p in self._compiled if code else ():
+            if p.search(code):
+                return True
+        return False
 
     def valid_column(self, code: Column) -> Column:
         hit = F.lit(False)

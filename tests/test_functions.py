@@ -8,7 +8,7 @@ from labelwright.functions import metrics
 from labelwright.functions import text as T
 from labelwright.functions.confusion import Confusion, similarity_column
 from labelwright.functions.grammar import Grammar, examples
-from labelwright.operators.repair import Repairer, Symbol
+from labelwright.operators.repair import Repairer, RepairParams, Symbol
 
 DISTANCES = [
     ("RD258150", "RD258150", 0), ("rd258150", "RD258150", 0), ("RD25815O", "RD258150", 0.15), ("RD25815W", "RD258150", 1.0), ("RD258150", "RD258151", 0.85),
@@ -93,3 +93,35 @@ def test_repair():
     symbols = [Symbol(c, 0.95) for c in "RD258150"]
     symbols[4] = Symbol("8", 0.40, (("8", 0.40), ("6", 0.39)))
     assert {"RD258150", "RD256150"} <= {c for c, _, _ in own.repair(symbols, 5)}
+
+
+def plain_beam(own, symbols, most):
+    """The search as a dict of readings for each hypothesis, one symbol after the other."""
+    beam = [("", 0.0, -1)] if symbols else []
+    for symbol in symbols:
+        taken, drop = own.moves(symbol)
+        best = {}
+        for text, score, before in beam:
+            if len(text) < own.grammar.most + 2:
+                for char, kind, log in taken:
+                    value = score + log + own.place[min(len(text), len(own.place) - 1)][kind] + (own.after[before][kind] if before >= 0 else 0.0)
+                    if text + char not in best or value > best[text + char][0]:
+                        best[text + char] = value, kind
+            if text not in best or score + drop > best[text][0]:
+                best[text] = score + drop, before
+        beam = sorted(((t, s, k) for t, (s, k) in best.items()), key=lambda x: -x[1])[: own.params.beam]
+    found = [(t, s, own.grammar.valid(t)) for t, s, _ in beam if t]
+    return ([x for x in found if x[2]] or found)[:most]
+
+
+@pytest.mark.parametrize("params", [RepairParams(), RepairParams(beam=5, readings=2), RepairParams(beam=200, readings=6, drop_char=math.log(0.3))])
+def test_beams_of_a_batch_equal_single_ones(params):
+    random = np.random.default_rng(7)
+    own = Repairer(Grammar(), params=params)
+    letters = list("AABB001188OIS5-.|é世ß")
+    pick = lambda: str(random.choice(letters))
+    reads = [own.symbols("".join(pick() for _ in range(random.integers(0, 11)))) for _ in range(120)]
+    reads += [[Symbol(pick(), float(random.random() * 1.2 - 0.1), tuple((pick(), float(random.random())) for _ in range(random.integers(0, 4)))) for _ in range(random.integers(0, 9))] for _ in range(120)]
+    reads += [own.symbols("A0" * 20), own.symbols("EA5118Z2FX3O"), [Symbol("", 0.5), Symbol("R", 0.9), Symbol("", 0.5)], own.symbols("AAAAAAAA")]
+    found = own.repair_all(reads, 64)
+    assert found == [plain_beam(own, r, 64) for r in reads] and any(v for r in found for _, _, v in r)
