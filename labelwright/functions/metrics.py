@@ -78,9 +78,67 @@ def _table(left: np.ndarray, rows: np.ndarray, top: np.ndarray, columns: np.ndar
     return out
 
 
+#: Characters of a word whose places fit a mask.
+MASKED = 64
+
+
 def jaro_winklers(a: list[str], b: list[str], winkler: bool = True) -> np.ndarray:
-    """Jaro (with halves of transpositions) or Jaro-Winkler similarities of pairs, case aside."""
-    return np.array([_jaro((x or "").upper(), (y or "").upper(), winkler) for x, y in zip(a, b)])
+    """Jaro (with halves of transpositions) or Jaro-Winkler similarities of pairs, case aside. Words of up to 64 characters are
+    matched together, the free places of each second word in a mask; longer ones one by one."""
+    (own, x), (other, y) = _numbered(a), _numbered(b)
+    if not len(x):
+        return np.zeros(0)
+    pairs, back = np.unique(x * len(other) + y, return_inverse=True)
+    left, right = np.divmod(pairs, len(other))
+    out = np.zeros(len(pairs))
+    for lo in range(0, len(pairs), BLOCK):
+        u, v = [own[i] for i in left[lo : lo + BLOCK].tolist()], [other[i] for i in right[lo : lo + BLOCK].tolist()]
+        short = np.array([len(p) <= MASKED and len(q) <= MASKED for p, q in zip(u, v)])
+        part = np.zeros(len(u))
+        if short.any():
+            part[short] = _jaros([p for p, k in zip(u, short) if k], [q for q, k in zip(v, short) if k], winkler)
+        for i in np.flatnonzero(~short).tolist():
+            part[i] = _jaro(u[i], v[i], winkler)
+        out[lo : lo + BLOCK] = part
+    return out[back]
+
+
+def _jaros(a: list[str], b: list[str], winkler: bool) -> np.ndarray:
+    place = {c: i + 1 for i, c in enumerate(dict.fromkeys("".join(a) + "".join(b)))}
+    (x, n), (y, m) = _grid(a, place), _grid(b, place)
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+    one = np.uint64(1)
+
+    def below(k: np.ndarray) -> np.ndarray:
+        """A mask of the places before k."""
+        k = np.clip(k, 0, MASKED)
+        return np.where(k == MASKED, ~np.uint64(0), (one << np.minimum(k, MASKED - 1).astype(np.uint64)) - one)
+
+    free, hit = below(m), np.zeros(x.shape, bool)
+    octets = np.zeros((len(n), MASKED // 8), np.uint8)
+    for i in range(x.shape[1]):
+        octets[:, : -(-y.shape[1] // 8)] = np.packbits(y == x[:, i : i + 1], axis=1, bitorder="little")
+        same = octets.view(np.uint64)[:, 0]
+        open_ = same & free & below(i + reach + 1) & ~below(i - reach)
+        open_ = np.where(i < n, open_, np.uint64(0))
+        free ^= open_ & (~open_ + one)  # the first place
+        hit[:, i] = open_ != 0
+    taken = (below(m) ^ free)[:, None] >> np.arange(y.shape[1], dtype=np.uint64) & one != 0
+    matches = hit.sum(1)
+    mine, theirs = np.zeros(x.shape, np.int64), np.zeros(x.shape, np.int64)
+    row, at = np.nonzero(hit)
+    mine[row, (np.cumsum(hit, 1) - 1)[row, at]] = x[row, at]
+    row, at = np.nonzero(taken)
+    theirs[row, (np.cumsum(taken, 1) - 1)[row, at]] = y[row, at]
+    moved = (mine != theirs).sum(1) / 2.0
+    some = np.maximum(matches, 1)
+    jaro = np.where(matches > 0, (matches / np.maximum(n, 1) + matches / np.maximum(m, 1) + (matches - moved) / some) / 3, 0.0)
+    if winkler:
+        k = min(4, x.shape[1], y.shape[1])
+        alike = np.cumprod((x[:, :k] == y[:, :k]) & (np.arange(k) < np.minimum(n, m)[:, None]), 1).sum(1) if k else np.zeros(len(n))
+        jaro = np.where(jaro > 0.7, jaro + 0.1 * alike * (1 - jaro), jaro)
+    equal = np.array([p == q for p, q in zip(a, b)])
+    return np.where(equal, 1.0, jaro)
 
 
 def _jaro(a: str, b: str, winkler: bool) -> float:

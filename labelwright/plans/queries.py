@@ -127,7 +127,8 @@ def verified_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.verified(ranked, known).select("req_id", "code", r6("probability").alias("probability"), r6("margin").alias("margin"), "verified")
 
 
-@query()
+@query(f"""SELECT req_id, round(jaro, 6) AS jaro, round(winkler, 6) AS jaro_winkler FROM {D_OBS} o
+    JOIN ({duck.jaros(f"SELECT text AS a, true_code AS b FROM {D_OBS}")}) j ON j.a = o.text AND j.b = o.true_code""")
 def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("text"), F.col("true_code")
     return S.observations(spark, sf_dir).select("req_id", r6(metrics.jaro(a, b)).alias("jaro"), r6(metrics.jaro_winkler(a, b)).alias("jaro_winkler"))
@@ -143,11 +144,7 @@ def ngram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.observations(spark, sf_dir).select("req_id", r6(metrics.ngram_cosine(F.col("text"), F.col("true_code"))).alias("cosine"))
 
 
-_CONFUSION = confusion.Confusion()
-D_KNOWN = "MAP {" + ", ".join(f"'{p}': {s}::DOUBLE" for p, s in _CONFUSION.both_ways().items()) + "}"
-
-
-@query(f"""SELECT req_id, a, b, CASE WHEN a = b THEN 1 ELSE coalesce({D_KNOWN}[a || b], 0) END AS similarity FROM
+@query(f"""SELECT req_id, a, b, CASE WHEN a = b THEN 1 ELSE coalesce({duck.SIMILAR}[a || b], 0) END AS similarity FROM
     (SELECT req_id, substr(text, 3, 1) AS a, substr(true_code, 4, 1) AS b FROM {D_OBS})""")
 def char_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.observations(spark, sf_dir).select("req_id", F.substring("text", 3, 1).alias("a"), F.substring("true_code", 4, 1).alias("b"))
@@ -166,36 +163,27 @@ def plausible_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.filter(Grammar().plausible_column(F.col("token")))
 
 
-_EXAMPLES = ", ".join(f"('{x}')" for x in Grammar().examples)
-D_CLASS = "CASE WHEN regexp_matches({0}, '[A-Za-z]') THEN 0 WHEN regexp_matches({0}, '[0-9]') THEN 1 ELSE 2 END"
-D_CHARS = f"""codes AS (SELECT code FROM {D_PARTS} UNION ALL SELECT * FROM (VALUES {_EXAMPLES}) e(code)),
-    chars AS (SELECT row_number() OVER () AS id, code FROM codes),
-    cls AS (SELECT id, i AS pos, {D_CLASS.format('substr(code, CAST(i + 1 AS INT), 1)')} AS cls FROM (SELECT id, code, unnest(range(length(code))) AS i FROM chars))"""
-D_PROFILE = f"""grid AS (SELECT pos, cls FROM (SELECT DISTINCT pos FROM cls) CROSS JOIN (VALUES (0), (1), (2)) k(cls)),
-    counted AS (SELECT g.pos, g.cls, 0.5 + count(c.id) AS n FROM grid g LEFT JOIN cls c ON c.pos = g.pos AND c.cls = g.cls GROUP BY g.pos, g.cls),
-    profile AS (SELECT pos, cls, n / sum(n) OVER (PARTITION BY pos) AS p FROM counted)"""
-D_MOVES = """steps AS (SELECT cls, lag(cls) OVER (PARTITION BY id ORDER BY pos) AS before FROM cls),
-    moved AS (SELECT b.cls AS before, k.cls, 0.5 + count(s.cls) AS n FROM (VALUES (0), (1), (2)) b(cls) CROSS JOIN (VALUES (0), (1), (2)) k(cls) LEFT JOIN steps s ON s.before = b.cls AND s.cls = k.cls GROUP BY b.cls, k.cls),
-    transition AS (SELECT before, cls, n / sum(n) OVER (PARTITION BY before) AS p FROM moved)"""
+D_CLASS = duck.CLASS
+D_SHAPES = duck.shapes(D_PARTS)
 
 
 def _parts_grammar(spark: SparkSession, sf_dir: str) -> Grammar:
     return Grammar.learn(S.frame(spark, sf_dir, S.PARTS))
 
 
-@query(f"WITH {D_CHARS}, {D_PROFILE} SELECT CAST(pos AS INT) AS pos, CAST(cls AS INT) AS cls, round(p, 6) AS p FROM profile")
+@query(f"WITH {D_SHAPES} SELECT CAST(pos AS INT) AS pos, CAST(cls AS INT) AS cls, round(p, 6) AS p FROM profile")
 def positional_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _parts_grammar(spark, sf_dir)
     return spark.createDataFrame([(i, k, round(float(p), 6)) for i, row in enumerate(own.profile) for k, p in enumerate(row)], "pos int, cls int, p double")
 
 
-@query(f"WITH {D_CHARS}, {D_MOVES} SELECT CAST(before AS INT) AS before, CAST(cls AS INT) AS cls, round(p, 6) AS p FROM transition")
+@query(f"WITH {D_SHAPES} SELECT CAST(before AS INT) AS before, CAST(cls AS INT) AS cls, round(p, 6) AS p FROM transition")
 def class_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _parts_grammar(spark, sf_dir)
     return spark.createDataFrame([(a, k, round(float(p), 6)) for a, row in enumerate(own.transition) for k, p in enumerate(row)], "before int, cls int, p double")
 
 
-@query(f"""WITH {D_CHARS}, {D_PROFILE}, {D_MOVES}, o AS {D_OBS},
+@query(f"""WITH {D_SHAPES}, o AS {D_OBS},
     x AS (SELECT req_id, i AS pos, {D_CLASS.format('substr(text, CAST(i + 1 AS INT), 1)')} AS cls FROM (SELECT req_id, text, unnest(range(length(text))) AS i FROM o)),
     y AS (SELECT *, lag(cls) OVER (PARTITION BY req_id ORDER BY pos) AS before FROM x)
     SELECT req_id, round(sum(ln(p.p) + coalesce(ln(t.p), 0)), 6) AS log_likelihood FROM y JOIN profile p ON p.pos = least(y.pos, (SELECT max(pos) FROM profile)) AND p.cls = y.cls LEFT JOIN transition t ON t.before = y.before AND t.cls = y.cls GROUP BY req_id""")
@@ -203,7 +191,7 @@ def shape_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.observations(spark, sf_dir).select("req_id", r6(_parts_grammar(spark, sf_dir).log_likelihood_column(F.col("text"))).alias("log_likelihood"))
 
 
-@query(f"""WITH {D_CHARS}, {D_PROFILE} SELECT string_agg(shape, '' ORDER BY pos) AS shape FROM
+@query(f"""WITH {D_SHAPES} SELECT string_agg(shape, '' ORDER BY pos) AS shape FROM
     (SELECT pos, substr('LD-', CAST(1 + arg_max(cls, p - 0.000000001 * cls) AS INT), 1) AS shape FROM profile GROUP BY pos)""")
 def shape_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(_parts_grammar(spark, sf_dir).shape(),)], "shape string")
@@ -318,16 +306,68 @@ def merge_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.merged_fields(parsed).select("image_id", "quality", "batch", "article", "color_name")
 
 
-@query()
+D_REPAIRS = duck.repairs(
+    f"SELECT text AS id, i AS t, upper(substr(text, CAST(i AS INT), 1)) AS char, 0.6::DOUBLE AS conf, -1 AS kind FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT DISTINCT text FROM {D_OBS}))",
+    "SELECT 0 AS kind, 1 AS nth, 'A' AS char, 0::DOUBLE AS p WHERE false", D_MASTER, PATTERNS,
+)
+
+
+@query(f"WITH RECURSIVE {D_REPAIRS} SELECT req_id, nth, code, round(log_score, 6) AS log_score, valid FROM {D_OBS} o JOIN repaired r ON o.text = r.id")
 def grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.observations(spark, sf_dir)
     found = rows.select("req_id", F.posexplode(repairs(F.col("text"), F.col("symbols"), Grammar.learn(S.frame(spark, sf_dir, S.MASTER)))).alias("nth", "r"))
     return found.select("req_id", "nth", "r.code", r6("r.log_score").alias("log_score"), "r.valid")
 
 
-@query()
+@query(f"WITH RECURSIVE {duck.repairs(S.SYMBOL_CHARS.format(S.duck(S.OBSERVATIONS)), S.SYMBOL_CHOICES, D_MASTER, PATTERNS, 5)} SELECT id AS req_id, nth, code, round(log_score, 6) AS log_score, valid FROM repaired")
+def symbol_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of characters that come with confidences and other readings of their own."""
+    rows = S.symbol_observations(spark, sf_dir)
+    found = rows.select("req_id", F.posexplode(repairs(F.col("text"), F.col("symbols"), Grammar.learn(S.frame(spark, sf_dir, S.MASTER)), most=5)).alias("nth", "r"))
+    return found.select("req_id", "nth", "r.code", r6("r.log_score").alias("log_score"), "r.valid")
+
+
+def _guesses(observations: str) -> str:
+    """CTEs up to ranked candidates of SQL of observations (req_id, obs_no, text, source, conf), repairs included."""
+    chars = f"SELECT text AS id, i AS t, upper(substr(text, CAST(i AS INT), 1)) AS char, 0.6::DOUBLE AS conf, -1 AS kind FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT DISTINCT text FROM {observations}))"
+    fits = lambda c: "(" + " OR ".join(f"regexp_matches({c}, '{p}')" for p in PATTERNS) + ")"
+    near = duck.distances(f"SELECT DISTINCT o.text AS a, m.code AS b FROM {observations} o, {D_MASTER} m WHERE abs(length(o.text) - length(m.code)) <= 3 AND o.text <> m.code")
+    at = "obs_no, gen, hyp"
+    return f"""WITH RECURSIVE {duck.repairs(chars, "SELECT 0 AS kind, 1 AS nth, 'A' AS char, 0::DOUBLE AS p WHERE false", D_MASTER, PATTERNS)},
+    m AS MATERIALIZED {D_MASTER}, o AS MATERIALIZED {observations}, total AS (SELECT sum(cnt) AS s, count(*) AS n FROM m),
+    fixed AS (SELECT r.*, first_value(log_score) OVER (PARTITION BY id ORDER BY nth) AS top, m.code IS NOT NULL AS listed FROM repaired r LEFT JOIN m ON m.code = r.code),
+    hyps AS (SELECT req_id, obs_no, text AS observed, code, 1 AS gen, '0' AS hyp, 'Exact' AS method, NULL AS note, 1::DOUBLE AS factor FROM o JOIN m ON o.text = m.code
+        UNION ALL SELECT req_id, obs_no, text, b, 2, b, 'MasterList', NULL, 1 FROM o JOIN (SELECT a, b FROM ({near}) WHERE distance / greatest(length(a), length(b)) <= 0.45) ON o.text = a
+        UNION ALL SELECT req_id, obs_no, text, code, 3, CAST(nth AS VARCHAR), CASE WHEN listed THEN 'MasterList' WHEN valid AND code = text THEN 'GrammarOnly' WHEN valid THEN 'GrammarRepair' ELSE 'Unverified' END,
+            CASE WHEN listed THEN 'reached via grammar repair' WHEN NOT valid THEN 'does not fit the article pattern' END, CASE WHEN NOT listed AND valid AND code <> text THEN exp(greatest(-6, log_score - top)) ELSE 1 END FROM o JOIN fixed ON o.text = id
+        UNION ALL SELECT req_id, obs_no, text, text, 4, '0', CASE WHEN {fits('text')} THEN 'GrammarOnly' ELSE 'Unverified' END, NULL, 1 FROM o),
+    own AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id, obs_no, code ORDER BY gen, hyp) AS nth FROM hyps) WHERE nth = 1),
+    apart AS MATERIALIZED ({duck.distances("SELECT DISTINCT observed AS a, code AS b FROM own")}),
+    weighed AS (SELECT own.*, source, conf, distance, {fits('own.code')} AS fits, (coalesce(m.cnt, 0) + 1) / (s + n) * exp(-2.0 * distance) * (0.5 + 0.5 * conf)
+            * CASE source WHEN 'QualityField' THEN 0.6 WHEN 'RawToken' THEN 0.4 ELSE 1.0 END * CASE WHEN {fits('own.code')} THEN 1.0 ELSE 0.35 END * factor AS weight
+        FROM own JOIN o USING (req_id, obs_no) JOIN apart ON a = observed AND b = own.code LEFT JOIN m ON m.code = own.code CROSS JOIN total),
+    grouped AS (SELECT req_id, code, list_reduce(list(weight ORDER BY {at}), lambda x, y: x + y) AS weight, count(*) AS votes, min(distance) AS distance, max(conf) AS ocr_conf, first(observed ORDER BY {at}) AS seen,
+        first(coalesce(note, '') ORDER BY {at}) AS notes, first({{'o': observed, 's': source, 'm': method}} ORDER BY round(distance, 12), {at}) AS near, first(fits ORDER BY {at}) AS matches_grammar, min(row(obs_no, gen, hyp)) AS place FROM weighed GROUP BY req_id, code),
+    odds AS (SELECT *, weight / (sum(weight) OVER (PARTITION BY req_id) + {NO_REPAIR.unknown}::DOUBLE) AS probability FROM grouped),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY round(probability, 12) DESC, round(distance, 12), place) AS rank FROM odds),
+    named AS (SELECT * FROM ranked JOIN ({duck.jaros("SELECT DISTINCT seen AS a, code AS b FROM ranked WHERE rank <= 10")}) ON seen = a AND code = b WHERE rank <= 10)
+    SELECT req_id, CAST(rank AS INT) AS rank, code, near.o AS observed, near.s AS source, near.m AS method, round(distance, 6) AS distance, ocr_conf, matches_grammar,
+        round(weight, 6) AS weight, round(probability, 6) AS probability, votes, notes, round(winkler, 6) AS jaro_winkler FROM named"""
+
+
+def _rounded(ranked: DataFrame) -> DataFrame:
+    return ranked.withColumns({c: r6(c) for c in ("distance", "weight", "probability", "jaro_winkler")}).withColumn("notes", F.array_join("notes", "; "))
+
+
+@query(_guesses(D_OBS))
 def guess_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(S.frame(spark, sf_dir, S.MASTER)).guess(S.observations(spark, sf_dir))
+    return _rounded(Engine(S.frame(spark, sf_dir, S.MASTER)).guess(S.observations(spark, sf_dir)))
+
+
+@query(_guesses(S.duck(S.VOTES)))
+def guess_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several observations of a request, whose weights for a code add up."""
+    return _rounded(Engine(S.frame(spark, sf_dir, S.MASTER)).guess(S.votes(spark, sf_dir)))
 
 
 @query()

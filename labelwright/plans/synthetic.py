@@ -31,6 +31,14 @@ OBSERVATIONS = f"""SELECT req_id, 1 AS obs_no, true_code,
         WHEN 4 THEN concat(substr(true_code, 1, 2), '.', substr(true_code, 3)) ELSE substr(true_code, 1, 7) END AS text,
     CASE req_id % 4 WHEN 0 THEN 'ArticleField' WHEN 1 THEN 'QualityField' WHEN 2 THEN 'RawToken' ELSE 'UserText' END AS source, CAST(0.5 + 0.05 * (req_id % 10) AS DOUBLE) AS conf
     FROM (SELECT c_custkey AS req_id, {code('c_custkey % n')} AS true_code FROM {{customer}} CROSS JOIN (SELECT count(*) AS n FROM {{supplier}}))"""
+#: Up to three observations of a request: as above, the code itself, and a neighbour's.
+VOTES = f"""SELECT req_id, v AS obs_no, CASE v WHEN 1 THEN text WHEN 2 THEN true_code ELSE concat(substr(true_code, 1, 7), '?') END AS text,
+    CASE v WHEN 1 THEN source WHEN 2 THEN 'RawToken' ELSE 'QualityField' END AS source, CAST(conf - 0.1 * v AS DOUBLE) AS conf FROM ({OBSERVATIONS.replace("1 AS obs_no, ", "")}) CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE v <= 1 + req_id % 3"""
+#: Characters of the observations as symbols of five kinds (DuckDB), and the readings that a kind offers; a null is the character itself.
+SYMBOL_CHARS = """SELECT req_id AS id, i AS t, upper(substr(text, CAST(i AS INT), 1)) AS char, CAST(3 + (req_id + i) % 5 * 2 AS DOUBLE) / 10 AS conf, CAST((req_id + i) % 5 AS INT) AS kind
+    FROM (SELECT req_id, text, unnest(range(1, length(text) + 1)) AS i FROM {})"""
+CHOICES = ((1, 1, None, 0.55), (1, 2, "0", 0.25), (2, 1, "8", 0.5), (2, 2, None, 0.3), (2, 3, "b", 0.1), (3, 1, "X", 0.01), (4, 1, "o", 0.9), (4, 2, "-", 0.05))
+SYMBOL_CHOICES = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {n}, {'NULL' if c is None else repr(c)}, {p}::DOUBLE)" for k, n, c, p in CHOICES) + ") c(kind, nth, char, p)"
 LABELS = f"""SELECT o_orderkey AS req_id, concat(
     'MILL ', o_orderkey % 7, chr(10), 'Quality : TE', lpad(CAST(o_orderkey % 900000 AS STRING), 6, '0'), 'FX2', chr(10),
     CASE o_orderkey % 3 WHEN 0 THEN 'Color : EPB80772HPM' WHEN 1 THEN 'Color : V01A001A Black 0813' ELSE 'Color : Mocha Taffy' END, chr(10),
@@ -65,6 +73,24 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, OBSERVATIONS).withColumn("symbols", F.lit(None).cast(SYMBOLS))
 
 
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, VOTES).withColumn("symbols", F.lit(None).cast(SYMBOLS))
+
+
+def symbol_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations with a symbol for each character, as SYMBOL_CHARS has them."""
+
+    def symbol(char, i):  # noqa: ANN001, ANN202
+        kind = (F.col("req_id") + i + 1) % 5
+        offers = F.lit(None)
+        for k in range(5):
+            own = [F.struct((char if c is None else F.lit(c)).alias("ch"), F.lit(p).alias("p")) for n, _, c, p in CHOICES if n == k]
+            offers = F.when(kind == k, F.array(*own) if own else F.array().cast("array<struct<ch:string,p:double>>")).otherwise(offers)
+        return F.struct(char.alias("ch"), ((3 + kind * 2).cast("double") / 10).alias("conf"), offers.alias("choices"))
+
+    return frame(spark, sf_dir, OBSERVATIONS).withColumn("symbols", F.transform(F.split("text", ""), symbol).cast(SYMBOLS))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dealt out, as the driver's table of orders is one row group, which one task reads."""
     return frame(spark, sf_dir, LABELS).repartition(spark.sparkContext.defaultParallelism)

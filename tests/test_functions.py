@@ -40,6 +40,16 @@ def test_jaro_winkler():
     assert metrics.jaro_winklers(["abcdefgh"], ["bcadefgh"], False)[0] == pytest.approx(0.9375)
 
 
+def test_jaro_of_a_batch_equals_single_ones():
+    random = np.random.default_rng(9)
+    words = ["".join(random.choice(list("ABab01é"), random.choice([0, 1, 2, 3, 8, 9, 33, 64, 70]))) for _ in range(600)]
+    a, b = words[:300] + ["MARTHA", "x" * 64], words[300:] + ["MARHTA", "x" * 63 + "y"]
+    b = [y if i % 3 else a[i][1:] + a[i][:1] for i, y in enumerate(b)]
+    for winkler in (True, False):
+        assert metrics.jaro_winklers(a, b, winkler).tolist() == [metrics._jaro(x.upper(), y.upper(), winkler) for x, y in zip(a, b)]
+    assert metrics.jaro_winklers([], []).tolist() == []
+
+
 def test_cosine_and_similarity(spark):
     rows = spark.createDataFrame([("RD258150", "RD258150"), ("RD258151", "RD258150"), ("ZZZZZZ", "RD258150")], "a string, b string").select(metrics.ngram_cosine(F.col("a"), F.col("b")).alias("c")).collect()
     assert rows[0].c == pytest.approx(1) and rows[1].c > 0.6 and rows[2].c < 0.1
