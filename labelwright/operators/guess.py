@@ -8,6 +8,7 @@ up in a request; with a share for "none of these" they become probabilities.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,11 +64,15 @@ def ordered_master(master: DataFrame) -> DataFrame:
     return master if dict(master.dtypes)["ord"] == "string" else master.withColumn("ord", F.lpad(F.col("ord").cast("string"), 20, "0"))
 
 
-def hypotheses(observations: DataFrame, master: DataFrame, grammar: Grammar, params: GuessParams, model: Confusion | None = None, repair: RepairParams | None = None, with_repair: bool = True) -> DataFrame:
-    """Rows of observations with code, method, note, factor, distance, and gen and hyp, which order them; one per code and observation."""
+def hypotheses(observations: DataFrame, master: DataFrame, grammar: Grammar, params: GuessParams, model: Confusion | None = None, repair: RepairParams | None = None, with_repair: bool = True, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows of observations with code, method, note, factor, distance, and gen and hyp, which order them; one per code and observation.
+
+    `keep` makes a table of the observations, which every kind of hypothesis reads.
+    """
     master = ordered_master(master)
     seen = observations.withColumn("observed", normalize_code(F.col("text"))).filter("observed <> ''").withColumn("row", F.struct("req_id", "obs_no"))
     known = master.select(F.col("code").alias("observed"), F.lit(True).alias("is_known"))
+    seen = keep(seen) if keep else seen
     base = seen.join(known, "observed", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
     keys = ["req_id", "obs_no", "observed"]
     shape = lambda df, gen, hyp, method, note, factor, dist: df.select(*keys, "code", F.lit(gen).alias("gen"), hyp.alias("hyp"), method.alias("method"), note.alias("note"), factor.alias("factor"), dist.alias("distance"))
@@ -126,9 +131,9 @@ def candidates(hyps: DataFrame, params: GuessParams, with_jaro: bool = True) ->
     return out.drop("_first")
 
 
-def guess(observations: DataFrame, master: DataFrame, grammar: Grammar | None = None, params: GuessParams | None = None, model: Confusion | None = None, repair: RepairParams | None = None, with_repair: bool = True) -> DataFrame:
+def guess(observations: DataFrame, master: DataFrame, grammar: Grammar | None = None, params: GuessParams | None = None, model: Confusion | None = None, repair: RepairParams | None = None, with_repair: bool = True, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     params, grammar = params or GuessParams(), grammar or Grammar.learn(master)
-    hyps = hypotheses(observations, master, grammar, params, model, repair, with_repair)
+    hyps = hypotheses(observations, master, grammar, params, model, repair, with_repair, keep)
     return candidates(weighed(hyps, master, grammar, params), params)
 
 

@@ -16,6 +16,7 @@ from ..operators.repair import repairs
 from ..sources.readers import master_lines
 from . import duck
 from . import synthetic as S
+from .keeping import Kept
 from .pipeline import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +80,7 @@ D_NEAR = f"(SELECT a, b, distance FROM ({duck.distances(D_PAIRS)}) WHERE distanc
 @query(f"SELECT req_id, a AS observed, b AS code, round(distance, 6) AS distance FROM {D_OBS} o JOIN {D_NEAR} n ON o.text = n.a")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = S.observations(spark, sf_dir).select("req_id", T.normalize_code(F.col("text")).alias("observed"))
-    near = G.fuzzy(seen, G.ordered_master(S.frame(spark, sf_dir, S.MASTER)), NO_REPAIR)
+    near = G.fuzzy(seen, G.ordered_master(_master(spark, sf_dir)), NO_REPAIR)
     return seen.join(near, "observed").select("req_id", "observed", "code", r6("distance").alias("distance"))
 
 
@@ -108,8 +109,21 @@ D_HYPS = f"""WITH m AS {D_MASTER}, o AS {D_OBS}, near AS {D_NEAR}, t AS (SELECT
     r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY round(probability, 12) DESC, round(distance, 12), gen, code) AS rank FROM p)"""
 
 
+#: What the last query has cached; the next one gives it back.
+_KEPT = Kept()
+
+
+def _master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _KEPT.release()
+    return _KEPT(S.frame(spark, sf_dir, S.MASTER))
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(_master(spark, sf_dir), keep=_KEPT)
+
+
 def _without_repair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    known = S.frame(spark, sf_dir, S.MASTER)
+    known = _master(spark, sf_dir)
     return G.guess(S.observations(spark, sf_dir), known, with_repair=False), known
 
 
@@ -361,28 +375,37 @@ def _rounded(ranked: DataFrame) -> DataFrame:
 
 @query(_guesses(D_OBS))
 def guess_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(Engine(S.frame(spark, sf_dir, S.MASTER)).guess(S.observations(spark, sf_dir)))
+    return _rounded(_engine(spark, sf_dir).guess(S.observations(spark, sf_dir)))
 
 
 @query(_guesses(S.duck(S.VOTES)))
 def guess_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several observations of a request, whose weights for a code add up."""
-    return _rounded(Engine(S.frame(spark, sf_dir, S.MASTER)).guess(S.votes(spark, sf_dir)))
+    return _rounded(_engine(spark, sf_dir).guess(S.votes(spark, sf_dir)))
 
 
 @query()
 def text_to_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label texts to result documents: the flagship."""
-    engine = Engine(S.frame(spark, sf_dir, S.MASTER))
+    engine = _engine(spark, sf_dir)
     texts = S.frame(spark, sf_dir, S.OBSERVATIONS).select("req_id", F.concat(F.lit("Artic1e : "), "text", F.lit("\nNet: 17.00KG\nColor : Mocha Taffy")).alias("text"))
     ranked, parsed = engine.from_text(texts)
     return render.documents(ranked, engine.verified(ranked), labels.fields_map(parsed))
 
 
-@query()
+@query(_guesses(f"(WITH {D_SEEN} SELECT image_id AS req_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY pass_rank, kind, nth) AS INT) AS obs_no, text, source, conf FROM marked WHERE kind = 0 OR n = 1)"))
 def passes_to_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, _ = Engine(S.frame(spark, sf_dir, S.MASTER)).from_passes(S.passes(spark, sf_dir))
-    return ranked
+    """Passes to candidates: parsed once, observed, guessed."""
+    ranked, _ = _engine(spark, sf_dir).from_passes(S.passes(spark, sf_dir))
+    return _rounded(ranked)
+
+
+@query()
+def passes_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes to result documents with raw text, best variant and diagnostics."""
+    passed = S.passes(spark, sf_dir)
+    said = passes.diagnostics(passed.withColumns({"error": F.lit(None).cast("string"), "elapsed_ms": F.lit(0).cast("long")}))
+    return _engine(spark, sf_dir).results(passed, said)
 
 
 @query()
