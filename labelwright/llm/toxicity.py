@@ -2,18 +2,19 @@
 
 Embeddings and softmax are trained jointly in numpy, in one task, over a bounded sample of labelled rows (`SAMPLE_ROWS`
 of each class at most, in hash order of doc_id, so any size of table gives the same kind of sample; of these, in a
-mixed order, the texts that fit into `SAMPLE_BYTES`, of which each class has half and what the other leaves). Misspelt or inflected words share the vectors of their n-grams; runs of one word count once. Scoring covers every row and whole
-text: with the softmax fixed, an n-gram's part in the logit is one number, and a document's logit is their mean.
+mixed order, the texts that fit into `SAMPLE_BYTES`, of which each class has half and what the other leaves). They are
+chosen by their sizes, so that only texts that are learnt from leave their tasks. Misspelt or inflected words share the
+vectors of their n-grams; runs of one word count once. Scoring covers every row and whole text: with the softmax fixed, an n-gram's part in the logit is one number, and a document's logit is their mean.
 
 Only texts enter a score. Null and empty texts have no features and get the score of the bias. Labels that are null
-are left out; of several labels of a document the highest counts. Rows with equal doc_id are scored each; without
-usable labels of both classes every score is 0. Other columns are ignored; an empty table gives no rows.
+are left out; of several labels of a document the highest counts. Rows with equal doc_id are scored each, and the longest of
+their texts is learnt from (of equally long ones the greatest); without usable labels of both classes every score is 0. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sized
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +139,7 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5))
 
 
-def fitting(order: list[int], found: dict[int, tuple[int, bytes]], limit: int) -> list[int]:
+def fitting(order: list[int], found: dict[int, tuple[int, Sized]], limit: int) -> list[int]:
     """Of documents (class and text) in an order those that fit into `limit` bytes; a class that has none of them gets its shortest."""
     total = [sum(len(text) for own, text in found.values() if own == c) for c in (0, 1)]
     left = [max(limit // 2, limit - total[1 - c]) for c in (0, 1)]
@@ -162,30 +163,35 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, limit: int
     if len(totals) < 2:
         return None
     sample = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("size", F.octet_length("text").cast("long"))
+    met = texts.select("doc_id", "size").join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id")
+    # At most `rows` documents of each class, by size alone.
+    found = {r["doc_id"]: (r["toxic"], range(r["size"])) for r in met.groupBy("doc_id", "toxic").agg(F.max("size").alias("size")).collect()}
+    order = fitting(sorted(found, key=lambda doc: (doc * 0x9E3779B97F4A7C15) % 2**64), found, limit)
+    y = np.array([found[doc][0] for doc in order])
+    if len(set(y.tolist())) < 2:
+        return None
+    # Each class weighs what it does among all labels.
+    share = {c: totals[c] / sum(totals.values()) / int((y == c).sum()) * len(y) for c in (0, 1)}
+    chosen = docs.sparkSession.createDataFrame([(doc, len(found[doc][1]), i) for i, doc in enumerate(order)], "doc_id long, size long, place int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[int, bytes]] = {}
+        held: dict[int, bytes] = {}
         for batch in batches:
-            for doc, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))):
-                found[doc] = (toxic, max(found.get(doc, (0, b""))[1], (text or "").encode()))
-        mixed = sorted(found, key=lambda doc: (doc * 0x9E3779B97F4A7C15) % 2**64)
-        mixed = fitting(mixed, found, limit)
-        if len({found[doc][0] for doc in mixed}) < 2:
+            for place, text in zip(batch.column("place").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                held[place] = text
+        if not held:
             return
-        y = np.array([found[doc][0] for doc in mixed])
-        # Each class weighs what it does among all labels.
-        share = {c: totals[c] / sum(totals.values()) / max(1, int((y == c).sum())) * len(y) for c in (0, 1)}
-        texts = [found[doc][1] for doc in mixed]
-        found.clear()
-        model = train(texts, y, np.array([share[c] for c in y]))
-        own = pickle.dumps((model.embedding, model.softmax, model.bias))
-        del model
-        yield pa.RecordBatch.from_arrays([pa.array([own], pa.binary())], ["model"])
-        found.clear()
+        own = [held[i] for i in sorted(held)]
+        held.clear()
+        model = train(own, y, np.array([share[c] for c in y]))
+        fitted = pickle.dumps((model.embedding, model.softmax, model.bias))
+        del model, own
+        yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], ["model"])
         common.released()
 
-    # The sample, which is bounded, meets in one task; documents are read and joined in all.
+    # One text for each chosen document, at most `limit` bytes, meets in one task.
+    taken = texts.join(F.broadcast(chosen), ["doc_id", "size"]).groupBy("place").agg(F.max("text").alias("text"))
     fitted = taken.repartition(1).mapInArrow(run, "model binary").collect()
     return Model(*pickle.loads(fitted[0]["model"])) if fitted else None
 

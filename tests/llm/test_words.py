@@ -225,3 +225,16 @@ def test_resample(spark, orders, percent):
         assert tidy(importance.resample(frame(spark, rows), goal, orders, buckets, percent)) == brute_resample(rows, target, orders, buckets, percent, 20, 2024)
     assert tidy(importance.resample(frame(spark, rows), none, orders)) == brute_resample(rows, [], orders, 10_000, 10, 20, 2024)
     assert tidy(importance.resample(frame(spark, []), goal, orders)) == []
+
+
+# --- toxicity: what is learnt from repeated ids ---
+
+
+def test_the_longest_of_repeated_texts_is_learnt_from(spark):
+    from labelwright.llm import toxicity
+
+    one = [(i, " ".join(R.choices(["clean", "words", "here", "moronic"] if i % 2 else ["other", "clean", "things"], k=30))) for i in range(120)]
+    more = [(i, t[: len(t) // 2]) for i, t in one[:60]] + one[:30] + [(None, "moronic"), (500, "unlabelled")]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in one] + [(0, None), (None, 1)], "doc_id long, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels) for rows in (one, one + more)]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].parts, models[1].parts)) and models[0].bias.tolist() == models[1].bias.tolist()
