@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,21 +43,37 @@ class KeyMatcher:
     def __init__(self, model: Confusion | None = None, tolerance: float = TOLERANCE):
         self.model, self.tolerance = model or Confusion(), tolerance
         self.known: dict[str, str | None] = {"": None, "PONO": "PoNo"}
+        self.prices: dict[tuple[str, str], float] = {}
 
     def close(self, words: list[str], aliases: list[str]) -> list[list[bool]]:
         """For each word, which aliases it stands for; all that need a distance are measured together."""
-        near = [(w, a) for a in aliases if len(a) > 3 for w in self.in_reach([w for w in words if w and w != a and abs(len(a) - len(w)) <= 2], a)]
+        near = [(w, a) for a, own in zip(aliases, self.in_reach(words, aliases)) for w in own]
         reach = dict(zip(near, distances([w for w, _ in near], [a for _, a in near], self.model)))
         return [[a == w or reach.get((w, a), 99.0) / max(len(a), len(w)) <= self.tolerance for a in aliases] for w in words]
 
-    def in_reach(self, words: list[str], alias: str) -> list[str]:
-        """Words whose characters, each at its least cost against any of the alias (a swap costs two characters), don't exceed the tolerance."""
+    def least(self, char: str, alias: str) -> float:
+        """The least that a character costs against any of an alias; a swap costs two characters."""
+        if (char, alias) not in self.prices:
+            self.prices[char, alias] = min([self.model.transpose_cost / 2, self.model.drop(char), *(self.model.substitution(char, x) for x in alias)])
+        return self.prices[char, alias]
+
+    def in_reach(self, words: list[str], aliases: list[str]) -> list[list[str]]:
+        """For each alias of more than three characters the other words, of about its length, whose characters' least costs don't exceed the tolerance."""
+        out: list[list[str]] = [[] for _ in aliases]
+        long = [len(a) for a in aliases if len(a) > 3]
+        words = [w for w in words if w and long and min(long) - 2 <= len(w) <= max(long) + 2]
         if not words:
-            return []
-        model = self.model
-        half = model.transpose_cost / 2
-        least = {c: min([half, model.drop(c), *(model.substitution(c, x) for x in alias)]) for c in set("".join(words))}
-        return [w for w in words if sum(least[c] for c in w) <= self.tolerance * max(len(w), len(alias)) + 1e-9]
+            return out
+        place = {c: i + 1 for i, c in enumerate(dict.fromkeys("".join(words)))}
+        size = np.array([len(w) for w in words])
+        letters = np.zeros((len(words), size.max()), np.int64)
+        letters[np.arange(size.max()) < size[:, None]] = [place[c] for w in words for c in w]
+        for found, alias in zip(out, aliases):
+            if len(alias) > 3:
+                least = np.array([0.0, *(self.least(c, alias) for c in place)])
+                near = (np.abs(size - len(alias)) <= 2) & (least[letters].sum(1) <= self.tolerance * np.maximum(size, len(alias)) + 1e-9)
+                found += [words[i] for i in np.flatnonzero(near).tolist() if words[i] != alias]
+        return out
 
     def learn(self, words: Iterable[str]) -> None:
         """Finds the keys of words not met before."""
@@ -64,8 +81,10 @@ class KeyMatcher:
             self.known = {"": None, "PONO": "PoNo"}
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         names, aliases = zip(*((name, alias) for name, own in KEYS.items() for alias in own))
-        for word, hits in zip(new, self.close(new, list(aliases))):
-            self.known[word] = next((name for name, hit in zip(names, hits) if hit), None)
+        for begin in range(0, len(new), 20_000):
+            part = new[begin : begin + 20_000]
+            for word, hits in zip(part, self.close(part, list(aliases))):
+                self.known[word] = next((name for name, hit in zip(names, hits) if hit), None)
 
     def key(self, word: str) -> str | None:
         if word not in self.known:
@@ -100,6 +119,19 @@ class KeyMatcher:
         return out
 
 
+def key_words(words: DataFrame, word: str = "word", model: Confusion | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Adds `key`: the key that a word alone stands for, or null."""
+
+    @F.pandas_udf("string")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = KeyMatcher(model, tolerance)
+        for letters in batches:
+            own.learn(w for w in letters if w is not None)
+            yield letters.map(lambda w: None if w is None else own.key(w))
+
+    return words.withColumn("key", udf.asNondeterministic()(T.letters_key(F.col(word))))
+
+
 def field_spans(lines: Column, words: Column, model: Confusion | None = None, tolerance: float = TOLERANCE) -> Column:
     @F.pandas_udf("array<struct<line:int,key:string,start:int,size:int>>")
     def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -245,6 +245,26 @@ def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("req_id", "f.line", "f.key", "f.value")
 
 
+def _keys() -> str:
+    """SQL of w (letters of a word) and key, by distance: the first key in the list's order with an alias near enough."""
+    near = duck.distances("SELECT w AS a, alias AS b FROM seen JOIN listed ON length(alias) > 3 AND abs(length(alias) - length(w)) <= 2 AND alias <> w")
+    return f"""SELECT w, arg_min(key, nth) AS key FROM (SELECT w, key, nth FROM seen JOIN listed ON alias = w
+        UNION ALL SELECT a, key, nth FROM ({near}) JOIN listed ON alias = b WHERE distance / greatest(length(a), length(b)) <= 0.30) GROUP BY w"""
+
+
+_LISTED = ", ".join(f"({i}, '{a}', '{k}')" for i, (a, k) in enumerate((a, k) for k, own in labels.KEYS.items() for a in own))
+
+
+@query(f"""WITH words AS (SELECT req_id, unnest(string_split_regex(text, '\\s+')) AS word FROM {S.duck(S.DAMAGED)}),
+    lettered AS (SELECT req_id, word, translate(upper(regexp_replace(word, '[^A-Za-z0-9]', '', 'g')), '1058', 'IOSB') AS w FROM words),
+    seen AS MATERIALIZED (SELECT DISTINCT w FROM lettered WHERE w <> ''), listed AS (SELECT * FROM (VALUES {_LISTED}) l(nth, alias, key)), keyed AS MATERIALIZED ({_keys()})
+    SELECT req_id, word, key, count(*) AS n FROM lettered JOIN keyed USING (w) GROUP BY ALL""")
+def fuzzy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of labels that stand for a key, by the weighted distance from its aliases."""
+    words = S.frame(spark, sf_dir, S.DAMAGED).select("req_id", F.explode(F.split("text", r"\s+")).alias("word"))
+    return labels.key_words(words).filter("key is not null").groupBy("req_id", "word", "key").agg(F.count("*").alias("n"))
+
+
 def _first(key: str, clean: bool = False) -> str:
     value = D_CLEAN.format("value") if clean else "nullif(value, '')"
     return f"arg_min({value}, line * 100 + field) FILTER (WHERE key = '{key}' AND {value} IS NOT NULL)"

@@ -47,6 +47,10 @@ LABELS = f"""SELECT o_orderkey AS req_id, concat(
     'QTY : ', 10 + o_orderkey % 90, CASE WHEN o_orderkey % 2 = 0 THEN '.50Y' ELSE ',25M' END, ' Weight: ', 150 + o_orderkey % 200, ' g/m2', chr(10),
     'Gross : ', 10 + o_orderkey % 20, '.00KG Free:', chr(10), 'PO. No. : TM-', o_orderkey, ' Net: ', o_orderkey % 20, '.50KG', chr(10),
     'Article : ', {code('o_orderkey % 20000')}, chr(10), 'Color : Blue ', o_orderkey % 7, chr(10), 'Remark :') AS text FROM {{orders}}"""
+#: Labels whose keys are damaged in several ways, some beyond recognition.
+DAMAGED = f"""SELECT req_id, replace(replace(replace(replace(replace(text, 'Quality', CASE req_id % 4 WHEN 0 THEN 'Qua1ity' WHEN 1 THEN 'QuaIitv' WHEN 2 THEN 'Oualty' ELSE 'Xuxlxty' END),
+    'Color', CASE req_id % 3 WHEN 0 THEN 'Co1or' WHEN 1 THEN 'C0l0r' ELSE 'Cloor' END), 'Article', CASE req_id % 3 WHEN 0 THEN 'Artic1e' WHEN 1 THEN 'Articel' ELSE 'Art.' END),
+    'Batch', CASE req_id % 2 WHEN 0 THEN '8atch' ELSE 'Bateh' END), 'Weight', CASE req_id % 2 WHEN 0 THEN 'Weigth' ELSE 'Wight' END) AS text FROM ({LABELS})"""
 #: Passes of the customers' labels: a grey reading without its Article line, a thresholded one, and an empty one.
 PASSES = f"""SELECT c_custkey AS image_id, v AS pass_no, CASE v WHEN 0 THEN 'gray' WHEN 1 THEN 'sauvola' ELSE 'otsu' END AS variant,
     CASE v WHEN 0 THEN concat('Quality : TE', lpad(CAST(c_custkey AS STRING), 6, '0'), 'FX2', chr(10), 'Batch : V', c_custkey, chr(10), 'Color : Mocha Taffy')
