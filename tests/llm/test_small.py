@@ -423,3 +423,22 @@ def test_interleaving(spark):
     store = spark.createDataFrame([("0" * 64, 7)], "digest string, payload_bytes int")
     found = media.resolve(pages, store, "page_id").orderBy("position").collect()
     assert [(r.position, r.caption, r.payload_bytes) for r in found] == [(1, "A", 7), (2, "Cap & tion", None)]
+
+
+def test_mixing_shuffles_no_more_for_more_salts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_BYTES", 3000)
+    docs = spark.createDataFrame([(i, passage(120)) for i in range(150)], "doc_id long, text string").repartition(6, "doc_id").cache()
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    scores, sizes = [], []
+    tokens = mixing.score(docs).first().train_tokens
+    for salts in (4, 16, 64):
+        before = written()
+        scores.append(sorted((r.doc_id, r.score) for r in mixing.score(docs, salt_words=tokens // (salts - 1)).collect()))
+        sizes.append(written() - before)
+    assert scores[0] == scores[1] == scores[2] and sizes[2] < 1.5 * sizes[0]
