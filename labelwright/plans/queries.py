@@ -49,6 +49,18 @@ def master_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return master.upsert(S.frame(spark, sf_dir, S.ENTRIES), "ord").drop("ord")
 
 
+@query(f"""WITH e AS (SELECT {D_NORMAL.format('code')} AS code, trim(description) AS d, CASE WHEN cnt > 0 THEN cnt ELSE 1 END AS c, ord FROM {D_ENTRIES})
+    SELECT code, arg_min(d, ord) FILTER (WHERE d <> '') AS description, CAST(sum(c) AS DOUBLE) AS cnt, min(ord) AS ord FROM e GROUP BY code""")
+def master_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of the first half of the entries, then of a quarter more, then of the rest."""
+    entries = S.frame(spark, sf_dir, S.ENTRIES)
+    last = entries.agg(F.max("ord")).first()[0] or 0
+    rows = master.upsert(entries.filter(F.col("ord") <= last // 2), "ord")
+    for low, high in ((last // 2, last * 3 // 4), (last * 3 // 4, last)):
+        rows = master.merged(rows, entries.filter((F.col("ord") > low) & (F.col("ord") <= high)), "ord")
+    return rows
+
+
 @query(f"""WITH m AS {D_MASTER}, t AS (SELECT sum(cnt) AS s, count(*) AS n FROM m)
     SELECT p.code, round((coalesce(m.cnt, 0) + 1) / (s + n), 6) AS prior FROM {D_PARTS} p LEFT JOIN m ON p.code = m.code CROSS JOIN t""")
 def master_prior(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ duckdb = pytest.importorskip("duckdb")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["master_upsert", "fuzzy_match", "posterior_topk", "verified_flags", "label_fields", "label_numbers", "pass_observations", "merge_passes", "shape_loglik", "otsu_histogram", "jaro_winkler", "grammar_repair", "symbol_repair", "guess_full", "guess_votes"])
+@pytest.mark.parametrize("name", ["master_upsert", "master_merge", "fuzzy_match", "posterior_topk", "verified_flags", "label_fields", "label_numbers", "pass_observations", "merge_passes", "shape_loglik", "otsu_histogram", "jaro_winkler", "grammar_repair", "symbol_repair", "guess_full", "guess_votes"])
 def test_twin(spark, name):
     con = duckdb.connect()
     for file in glob.glob(f"{DATA}/*.parquet"):
