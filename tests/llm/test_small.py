@@ -442,3 +442,40 @@ def test_mixing_shuffles_no_more_for_more_salts(spark, monkeypatch):
         scores.append(sorted((r.doc_id, r.score) for r in mixing.score(docs, salt_words=tokens // (salts - 1)).collect()))
         sizes.append(written() - before)
     assert scores[0] == scores[1] == scores[2] and sizes[2] < 1.5 * sizes[0]
+
+
+def test_mixing_fits_every_bit_of_all_training_texts(spark, monkeypatch):
+    """Of all folds but the held-out one, and a chunk sends no more lists than there are tasks to send them to."""
+    rows = [(i, passage(R.randint(0, 300))) for i in range(60)]
+    held, lists = {}, []
+
+    def weights(*given, real=mixing.fit_weights):
+        held["code"] = given[1].value
+        return real(*given)
+
+    def fit(cell, n, real=mixing.fit):
+        held["bits"] = int(n.sum())
+        return real(cell, n)
+
+    def followers_lists(*given, real=mixing.followers_lists):
+        made = real(*given)
+        lists.append(made.groupBy("chunk").count().agg({"count": "max"}).first()[0])
+        return made
+
+    for name, f in (("fit_weights", weights), ("fit", fit), ("followers_lists", followers_lists)):
+        monkeypatch.setattr(mixing, name, f)
+    monkeypatch.setattr(mixing, "CHUNK_BYTES", 9000)
+    mixing.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), top=30).count()
+    code = held["code"]
+    key = lambda w: int(words.hashes(words.Lanes(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0])
+    listed = {int(k): int(i) for k, i in zip(code.keys, code.order)}
+    bits = 0
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for w in WORD.findall(text.lower().encode()):
+                symbol = listed.get(key(w), code.escape)
+                bits += int(code.size[symbol]) + (sum(int(code.size[code.words + b]) for b in [*w, 32]) if symbol == code.escape else 0)
+            bits += int(code.size[code.end])
+    assert held["bits"] == bits
+    n = mixing.common.partitions(spark)
+    assert max(lists) <= 1 << (n - 1).bit_length()
